@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import bpe, urlfilter
 from .common import table
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's token ids and of what they decode to."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page's address; edges come from the pages' own redirect and canonical tags."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -17,6 +22,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_bpe": op4_bpe,
         "op8_url_filter": op8_url_filter,
     }
 
