@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, urlfilter
-from .common import table
+from . import bpe, langid, media, urlfilter
+from .common import is_held_out, table
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a greymap, and what is read back from it."""
+    return media.digest_media(media.store_documents(table(spark, sf_dir, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn_dictionaries(docs, ~is_held_out()))
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page's address; edges come from the pages' own redirect and canonical tags."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -23,6 +35,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe": op4_bpe,
+        "op6_media": op6_media,
+        "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
     }
 
