@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, urlfilter
+from . import bpe, langid, line_dedup, media, mixing, urlfilter
 from .common import is_held_out, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the boilerplate of its source."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_total", "lines_dropped")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
+    return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -34,6 +44,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
+        "op3_mixing": op3_mixing,
         "op4_bpe": op4_bpe,
         "op6_media": op6_media,
         "op7_language_id": op7_language_id,
@@ -42,4 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": line_dedup.SQL,
+        "op3_mixing": mixing.SQL,
+    }
