@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, media, mixing, urlfilter
+from . import bpe, langid, line_dedup, media, minhash, mixing, urlfilter
 from .common import is_held_out, table
 
 
@@ -25,6 +25,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a greymap, and what is read back from it."""
     return media.digest_media(media.store_documents(table(spark, sf_dir, "documents")))
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_mixing": op3_mixing,
         "op4_bpe": op4_bpe,
+        "op5_minhash": op5_minhash,
         "op6_media": op6_media,
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
