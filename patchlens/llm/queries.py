@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, media, minhash, mixing, urlfilter
+from . import ann, bpe, langid, line_dedup, media, minhash, mixing, urlfilter
 from .common import is_held_out, table
 
 
@@ -47,6 +47,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media": op6_media,
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
+        "op9_ann": op9_ann,
     }
 
 
@@ -63,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.SQL,
         "op3_mixing": mixing.SQL,
+        "op9_ann": ann.SQL,
     }
