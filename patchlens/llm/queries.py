@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, line_dedup, media, minhash, mixing, urlfilter
+from . import ann, bpe, langid, line_dedup, media, minhash, mixing, pii, urlfilter
 from .common import is_held_out, table
 
 
@@ -53,6 +53,11 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the fixed detectors' and what the field adds."""
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
         "op9_ann": op9_ann,
+        "op10_pii": op10_pii,
     }
 
 
