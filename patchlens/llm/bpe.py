@@ -41,15 +41,18 @@ ENCODE_SHORT = f"""
 WITH RECURSIVE state(w, pos, tok, round) USING KEY (w, pos) AS (
     SELECT w, pos, tok, 0 FROM pieces
   UNION ALL
-    SELECT w, pos, CASE WHEN pos = first % {SHORT} THEN first // {SHORT} WHEN prev = first % {SHORT} THEN -1 ELSE tok END AS tok, round + 1
-    FROM (
-        SELECT n.*, min(m.rank * {SHORT} + n.pos) OVER (PARTITION BY n.w) AS first
-        FROM (
-            SELECT w, pos, tok, round, lead(tok) OVER near AS next, lag(pos) OVER near AS prev
-            FROM state WHERE tok >= 0 WINDOW near AS (PARTITION BY w ORDER BY pos)
-        ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next
+    (
+        WITH pairs AS MATERIALIZED (
+            SELECT n.*, m.rank
+            FROM (
+                SELECT w, pos, tok, round, lead(tok) OVER near AS next, lag(pos) OVER near AS prev
+                FROM state WHERE tok >= 0 WINDOW near AS (PARTITION BY w ORDER BY pos)
+            ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next
+        ),
+        firsts AS (SELECT w, min(rank * {SHORT} + pos) AS first FROM pairs WHERE rank IS NOT NULL GROUP BY w)
+        SELECT w, pos, CASE WHEN pos = first % {SHORT} THEN first // {SHORT} WHEN prev = first % {SHORT} THEN -1 ELSE tok END AS tok, round + 1
+        FROM pairs JOIN firsts USING (w)
     )
-    WHERE first IS NOT NULL
 )
 SELECT w, list(tok ORDER BY pos) AS toks, string_agg(hex, '' ORDER BY pos) AS hex
 FROM state JOIN vocabulary ON id = tok WHERE tok >= 0 GROUP BY w ORDER BY w
@@ -105,16 +108,75 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"l": left, "r": right, "rank": rank, "alone": [int(x) not in outranked for x in rank]})
 
 
+#: The pattern that ``Splitter`` follows by arrays; any other one is left to the regular expression engine.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER, OTHER, SPACE = range(4)
+
+
+class Splitter:
+    """Cuts texts into a pattern's matches. For the known pattern, from the bounds of runs of letters, numbers, others, spaces."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.find = None
+        if pattern != KNOWN_PATTERN:
+            self.find = regex.compile(pattern).findall
+            return
+        self.kinds = np.full(0x110000, OTHER, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for kind, chars in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(chars, every):
+                self.kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+        self.kinds[0xD800:0xE000] = OTHER
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """(all pieces in order, how many each text has)"""
+        if self.find:
+            split = [self.find(t) for t in texts]
+            return [x for pieces in split for x in pieces], np.array([len(x) for x in split], np.int64)
+        text = "".join(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        if not text:
+            return [], np.zeros(len(texts), np.int64)
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kinds = self.kinds[chars]
+        first = np.zeros(len(chars) + 1, bool)  # of a text
+        first[0] = first[ends] = True
+        cut = first.copy()
+        cut[1:-1] |= kinds[1:] != kinds[:-1]
+        runs = np.flatnonzero(cut[:-1])
+        stops = np.append(runs[1:], len(chars))
+        kind = kinds[runs]
+        # white space before something else: its last character is on its own, or, if a plain space, goes with what follows
+        before = (kind == SPACE) & ~first[stops]
+        last = stops[before] - 1
+        plain = chars[last] == 32
+        cut[last] = True
+        cut[last[plain] + 1] = False
+        # an apostrophe that begins a piece, and the letters that it takes
+        for at in runs[(kind == OTHER) & (stops - runs == 1) & (chars[runs] == 39) & cut[runs]]:
+            tail = text[at + 1 : at + 3]
+            n = 2 if tail in ("re", "ve", "ll") else 1 if tail[:1] in ("s", "t", "m", "d") and tail else 0
+            if n and not first[at + 1 : at + 1 + n].any():
+                cut[at + 1] = False
+                cut[at + 1 + n] = True
+        starts = np.flatnonzero(cut[:-1]).tolist()
+        pieces = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+        counts = np.searchsorted(starts, ends, side="left")
+        return pieces, np.diff(counts, prepend=0)
+
+
 class Codec:
     """Encodes and decodes batches of texts in one Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
-        import regex
 
         self.ranks = ranks
-        self.split = regex.compile(pattern)
+        self.split = Splitter(pattern)
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "max_temp_directory_size": "0B"})
         self.db.register("merge_rows", merge_table(ranks))
@@ -140,10 +202,13 @@ class Codec:
             yield values[a:b].tobytes(), bytes.fromhex(text)
 
     def learn(self, words: set[str]) -> None:
-        """Puts (ids, decoded bytes) of pieces that aren't in the cache there; a full cache is emptied first."""
+        """Puts (ids, decoded bytes) of pieces that aren't in the cache there. What a full cache held is only looked up again."""
+        if len(self.words) + len(words) > CACHE_PIECES:
+            self.words, self.older = {}, self.words
         new = [x for x in words if x not in self.words]
-        if len(self.words) + len(new) > CACHE_PIECES:
-            self.words, new = {}, list(words)
+        if self.older:
+            self.words |= {x: self.older[x] for x in new if x in self.older}
+            new = [x for x in new if x not in self.older]
         short, long, whole = [], [], []
         for x in new:
             data = x.encode()
@@ -159,10 +224,12 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Each text's ids as little-endian unsigned 32-bit integers, and the bytes that those decode to, piece by piece."""
-        split = [self.split.findall(t) for t in texts]
-        self.learn(set().union(*split))
-        pairs = [[self.words[x] for x in pieces] for pieces in split]
-        return [b"".join([p[0] for p in x]) for x in pairs], [b"".join([p[1] for p in x]) for x in pairs]
+        pieces, counts = self.split(texts)
+        self.learn(set(pieces))
+        pairs = list(map(self.words.__getitem__, pieces))
+        ends = np.cumsum(counts).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        return tuple([b"".join([p[i] for p in pairs[a:b]]) for a, b in spans] for i in (0, 1))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
