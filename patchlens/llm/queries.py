@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, media, minhash, mixing, pii, urlfilter
+from . import ann, bpe, langid, line_dedup, media, minhash, mixing, pii, quality, urlfilter
 from .common import is_held_out, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~is_held_out()))
+    scored = quality.score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the boilerplate of its source."""
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_total", "lines_dropped")
@@ -60,6 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_line_dedup": op2_line_dedup,
         "op3_mixing": op3_mixing,
         "op4_bpe": op4_bpe,
