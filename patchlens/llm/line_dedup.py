@@ -45,8 +45,8 @@ def boilerplate(pages: DataFrame, site_col: str = "source", text_col: str = "tex
 
 
 def drop_boilerplate(pages: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
-    """All rows and columns of pages, text_col without its site's boilerplate, and lines_total, lines_dropped (int) added."""
-    names = pages.columns
+    """All rows and columns of pages, text_col without its site's boilerplate, and lines_total, lines_dropped (int) added or replaced."""
+    names = [c for c in pages.columns if c not in ("lines_total", "lines_dropped")]
     found = cut(boilerplate(pages, site_col, text_col, max_ratio).select("site", "line"))
     # one row a site; a site has few such lines, see above
     by_site = found.groupBy("site").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("site", "__site")

@@ -191,6 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """docs with ``score`` (0 to 1, higher is better)."""
-    scored = with_statistics(docs, text_col)
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], model.column().alias("score"))
+    """docs with ``score`` (0 to 1, higher is better), in place of a column of that name."""
+    names = docs.columns
+    # names by position: a column called like one of the statistics' steps does no harm
+    scored = with_statistics(docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text_col)}")
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != "score"], model.column().alias("score"))

@@ -86,5 +86,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.SQL,
         "op3_mixing": mixing.SQL,
+        "op8_url_filter": urlfilter.sql(),
         "op9_ann": ann.SQL,
     }

@@ -113,3 +113,45 @@ def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -
     else:
         judged = judged.join(alias_verdicts(edges, rules), "node", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", "by_alias", F.lit("allow")).alias("verdict"), "by_alias")
+
+
+def _sql_rule(host: str, path: str, rules, verdict: bool) -> str:
+    """The longest fitting rule as a CASE: longer ones are asked first."""
+    out = []
+    for kind, name, prefix in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True):
+        out.append(f"WHEN ({host} = '{name}' OR ends_with({host}, '.{name}')) AND starts_with({path}, '{prefix}') THEN '{kind if verdict else name + prefix}'")
+    return f"CASE {' '.join(out)} END"
+
+
+def sql(rules=RULES) -> str:
+    """The query on pages, for DuckDB; components by a recursive closure."""
+    host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    head = lambda u: f"regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1)"
+    node = lambda u: f"CASE WHEN {head(u)} <> '' THEN translate({head(u)}, '{UPPER}', '{LOWER}') || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+    attribute = lambda k: f"""regexp_replace(regexp_extract(tag, '(?is)\\s{k}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), '["'']', '', 'g')"""
+    return f"""
+WITH RECURSIVE tags AS (SELECT url AS base, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
+parts AS (SELECT base, {attribute("rel")} AS rel, {attribute("href")} AS href, {attribute("http-equiv")} AS equiv, {attribute("content")} AS content FROM tags),
+links AS (
+    SELECT base, replace(trim(CASE WHEN regexp_matches(lower(rel), '(^|\\s)canonical(\\s|$)') THEN href
+        WHEN lower(equiv) = 'refresh' THEN regexp_extract(content, '(?is)^\\s*[0-9.]+\\s*[;,]\\s*url\\s*=\\s*(.*)', 1) END), '&amp;', '&') AS link
+    FROM parts
+),
+full_links AS (
+    SELECT base, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+        WHEN starts_with(link, '//') THEN regexp_extract(base, '(?s)^(.*?:)//', 1) || link
+        WHEN starts_with(link, '/') THEN {head("base")} || link
+        WHEN starts_with(link, '?') THEN regexp_extract(base, '(?s)^([^?#]*)', 1) || link
+        ELSE regexp_extract(base, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) || CASE WHEN regexp_extract(base, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) = {head("base")} THEN '/' ELSE '' END || link END AS target
+    FROM links WHERE link <> ''
+),
+edges AS (SELECT DISTINCT {node("base")} AS u, {node("target")} AS v FROM full_links),
+both_ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+reach AS (SELECT u, u AS v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v),
+judged AS (SELECT u, v, {_sql_rule(host("v"), path("v"), rules, True)} AS verdict FROM reach),
+alias AS (SELECT u, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS by_alias FROM judged GROUP BY u),
+p AS (SELECT page_id, {node("url")} AS node, {host("url")} AS host, {path("url")} AS path FROM pages)
+SELECT page_id, host, path, {_sql_rule("host", "path", rules, False)} AS rule, coalesce({_sql_rule("host", "path", rules, True)}, by_alias, 'allow') AS verdict
+FROM p LEFT JOIN alias ON alias.u = p.node
+"""
