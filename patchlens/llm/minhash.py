@@ -11,11 +11,14 @@ connected components of links.
 How candidates stay in proportion to the texts, without caps:
 
 * Equal texts collapse to one node first (md5 of the text).
-* Round 1: every node is verified against one other, the smallest node that shares a bucket with it, if smaller.
-* Round 2: only buckets whose nodes round 1 left in several classes. Nodes outside the class of the bucket's smallest node meet
-  those inside it and each other in blocks of ``BLOCK`` nodes a side; registers are compared block by block, and only pairs
-  whose estimate could belong to 0.8 (5 standard deviations) are verified. So no pair of different classes that shares a
-  bucket is left out, and within a class no pair needs a look.
+* Round 1: the nodes of a bucket meet its ``PIVOTS`` pivots, which are the extremes of different orders of the nodes' hashes and
+  so mostly the same in all buckets of a group of copies. Registers are compared, and each node is verified against the
+  ``BEST`` pivots that agree with it most.
+* Round 2: only buckets whose nodes round 1 left in several classes. Nodes outside the class of the bucket's first node meet
+  those inside it and each other in tiles of ``BLOCK`` nodes a side. Within a tile, pairs of different classes whose estimate
+  could belong to 0.8 (5 standard deviations) are verified in the first bucket that they share, most similar first, until
+  their classes have met. So no pair of different classes that shares a bucket is left out, within a class no pair needs a
+  look, and a tile gives fewer links than it has nodes.
 
 Texts are read for nodes that take part in a verification only. Counted candidates are broadcast up to a bound and joined by
 a shuffle beyond it.
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -42,6 +45,11 @@ BLOCK = 256
 #: 0.8 less five standard deviations of the estimate
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 BROADCAST_NODES = 400_000
+#: Constants that flip bits of the nodes' hashes: each makes another order, whose smallest node is a pivot.
+PIVOTS = (0, -1, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+BEST = 2
+#: Rows of tiles that one call takes, besides the last tile.
+CALL_ROWS = 2000
 
 # Odd 64-bit constants of the splitmix64 generator.
 GOLDEN, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -136,7 +144,7 @@ def _signatures(batches):
                 s, w = shingles(text, hashes)
                 first = registers(s, w)
                 keys.append(band_keys(first) if len(s) else None)
-                kept.append(first.astype("<u4").tobytes())
+                kept.append(first.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["node", "keys", "sig"])
 
 
@@ -150,60 +158,129 @@ def _verified(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
 
-def _block_pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of one tile's sides, of different classes, whose registers agree often enough. side 2 is a block that meets itself."""
-    side = rows["side"].to_numpy()
-    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u4").reshape(-1, REGISTERS)
-    names, kind = np.array(rows["node"].to_pylist(), object), np.unique(np.array(rows["class"].to_pylist(), object), return_inverse=True)[1]
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out = []
-    for i in left:
-        other = right[kind[right] != kind[i]]
-        if side[i] == 2:
-            other = other[other > i]
-        agree = (sig[other] == sig[i]).mean(axis=1) if len(other) else np.zeros(0)
-        out += [(names[i], names[j]) for j in other[agree >= LEAST_ESTIMATE]]
+def _agreement(batches):
+    """Shares of equal registers (their last bytes) of (u, v, a, b)."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], ["u", "v", "near"])
+
+
+class _Tile:
+    """Rows of one tile: nodes with classes, keys, registers and texts. side 2 is a block that meets itself."""
+
+    def __init__(self, key: int, rows: pa.Table, hashes: dict[str, int]):
+        column = lambda c: rows[c].to_pylist()
+        self.node, self.text, self.key, self.hashes = column("node"), rows["text"], key, hashes
+        self.kind, self.side = np.unique(np.array(column("class"), object), return_inverse=True)[1], rows["side"].to_numpy()
+        self.sig = np.frombuffer(b"".join(column("sig")), np.uint8).reshape(-1, REGISTERS)
+        self.keys = np.array(column("keys"), np.int64)
+        self.sets: dict[int, tuple] = {}
+
+    def shingles(self, i: int) -> tuple:
+        if i not in self.sets:
+            self.sets[i] = shingles(self.text[i].as_py(), self.hashes)
+        return self.sets[i]
+
+    def candidates(self) -> list[tuple[float, int, int]]:
+        out = []
+        right = np.flatnonzero(self.side != 0)
+        for i in np.flatnonzero(self.side != 1):
+            other = right[self.kind[right] != self.kind[i]]
+            if self.side[i] == 2:
+                other = other[other > i]
+            agree = (self.sig[other] == self.sig[i]).mean(axis=1) if len(other) else np.zeros(0)
+            other, agree = other[agree >= LEAST_ESTIMATE], agree[agree >= LEAST_ESTIMATE]
+            same = self.keys[other] == self.keys[i]
+            first = np.where(same.any(axis=1), self.keys[i][same.argmax(axis=1)], 0) == self.key if len(other) else np.zeros(0, bool)
+            out += zip((-agree[first]).tolist(), [int(i)] * int(first.sum()), other[first].tolist())
+        return sorted(out)
+
+    def links(self) -> list[tuple[str, str]]:
+        parent = list(range(int(self.kind.max()) + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for _, i, j in self.candidates():
+            a, b = root(self.kind[i]), root(self.kind[j])
+            if a != b and similarity(self.shingles(i), self.shingles(j)) >= SIMILARITY:
+                parent[a] = b
+                out.append((self.node[i], self.node[j]))
+        return out
+
+
+def _tile_links(rows: pa.Table) -> pa.Table:
+    """Links of all tiles of one call."""
+    hashes, out = _Hashes(), []
+    rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    ids = np.array([rows[c].to_numpy() for c in ("key", "i", "j")])
+    starts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a > 1:
+            out += _Tile(int(ids[0, a]), rows.slice(a, b - a).combine_chunks(), hashes).links()
     return pa.table({"u": pa.array([x for x, _ in out], pa.string()), "v": pa.array([x for _, x in out], pa.string())})
 
 
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the rows of nodes(node), once each."""
+    ends = cut(nodes.select("node").distinct())
+    if ends.count() <= BROADCAST_NODES:
+        ends = F.broadcast(ends)
+    return texts.join(ends, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs(u, v) of nodes that are similar; texts(node, text)."""
     pairs = cut(pairs)
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    ends = cut(ends)
-    if ends.count() <= BROADCAST_NODES:
-        ends = F.broadcast(ends)
-    text = texts.join(ends, "node", "left_semi").dropDuplicates(["node"])
+    text = _texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))), texts)
     both = pairs.join(text.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return cut(both.select("u", "v", "a", "b").mapInArrow(_verified, "u string, v string"))
 
 
+def _round_one(nodes: DataFrame, shared: DataFrame, buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links of nodes and the pivots that agree with them most."""
+    met = shared.join(buckets, "key").select("h", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(len(PIVOTS))]))).alias("p")).where("h <> p").distinct()
+    sig = lambda h, node, col: nodes.select(F.col("h").alias(h), F.col("node").alias(node), F.col("sig").alias(col))
+    pairs = met.join(sig("h", "v", "b"), "h").join(sig("p", "u", "a"), "p").select("u", "v", "a", "b")
+    near = pairs.mapInArrow(_agreement, "u string, v string, near double").where(F.col("near") >= LEAST_ESTIMATE)
+    best = F.row_number().over(Window.partitionBy("v").orderBy(F.col("near").desc(), "u"))
+    chosen = near.withColumn("k", best).where(F.col("k") <= BEST)
+    return _verify(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), texts)
+
+
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes with ``class``: the root of their component, themselves if they have no link."""
     found = connected_components(links).withColumnRenamed("root", "class")
     return nodes.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
-def _round_two(nodes: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Candidate pairs across classes of buckets that still hold several."""
-    at = rows.join(_classes(nodes.select("node"), links), "node")
+def _round_two(nodes: DataFrame, shared: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Verified links across classes, in buckets that still hold several."""
+    classes = _classes(nodes.select("node", "h"), links)
+    at = shared.join(classes.select("h", "node", "class"), "h").drop("h")
     main = F.min(F.struct("node", "class"))["class"]
     mixed_up = at.groupBy("key").agg(main.alias("main"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key", "main")
     at = cut(at.join(mixed_up, "key").withColumn("outside", F.col("class") != F.col("main")))
     sizes = at.groupBy("key").agg(F.sum((~F.col("outside")).cast("long")).alias("n0"), F.sum(F.col("outside").cast("long")).alias("n1"))
     sizes = sizes.select("key", F.ceil(F.col("n0") / BLOCK).cast("int").alias("b0"), F.ceil(F.col("n1") / BLOCK).cast("int").alias("b1"))
-    at = at.join(sizes, "key").join(nodes.select("node", "sig"), "node")
+    at = at.join(sizes, "key")
     of = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n)).cast("int")
-    inside = at.where("not outside").select("key", of("b0").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b1") - 1)).alias("j"), F.lit(0).alias("side"), "node", "class", "sig")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = at.where("not outside").select("key", of("b0").alias("i"), upto("b1").alias("j"), F.lit(0).alias("side"), "node", "class")
     outside = at.where("outside").withColumn("j", of("b1"))
-    meets = outside.select("key", F.explode(F.sequence(F.lit(0), F.col("b0") - 1)).alias("i"), "j", F.lit(1).alias("side"), "node", "class", "sig")
+    meets = outside.select("key", upto("b0").alias("i"), "j", F.lit(1).alias("side"), "node", "class")
     # blocks of nodes outside meet each other: tile (-1 - low, high); the block itself where they are the same
-    other = F.explode(F.sequence(F.lit(0), F.col("b1") - 1)).alias("o")
-    among = outside.select("key", "j", other, "node", "class", "sig").select(
-        "key", (-1 - F.least("j", "o")).alias("i"), F.greatest("j", "o").alias("j"), F.when(F.col("j") == F.col("o"), 2).when(F.col("j") < F.col("o"), 0).otherwise(1).alias("side"), "node", "class", "sig"
+    among = outside.select("key", "j", upto("b1").alias("o"), "node", "class").select(
+        "key", (-1 - F.least("j", "o")).alias("i"), F.greatest("j", "o").alias("j"), F.when(F.col("j") == F.col("o"), 2).when(F.col("j") < F.col("o"), 0).otherwise(1).alias("side"), "node", "class"
     )
-    tiles = inside.union(meets).union(among)
-    return tiles.groupBy("key", "i", "j").applyInArrow(_block_pairs, "u string, v string").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    tiles = cut(inside.union(meets).union(among))
+    calls = max(1, -(-tiles.count() // CALL_ROWS))
+    text = _texts_of(at, texts)
+    full = tiles.join(nodes.select("node", "keys", "sig"), "node").join(text, "node").withColumn("call", F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)))
+    return cut(full.groupBy("call").applyInArrow(_tile_links, "u string, v string"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,13 +288,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = F.md5(F.col(text_col).cast("binary"))
     slim = docs.select(F.col(id_col).alias("id"), digest.alias("node"), F.col(text_col).alias("text"))
     texts = slim.where("text is not null").select("node", "text")
-    nodes = cut(texts.mapInArrow(_signatures, "node string, keys array<long>, sig binary").dropDuplicates(["node"]))
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    shared = cut(rows.join(buckets, "key"))
-    first = shared.where("low < node").groupBy("node").agg(F.min("low").alias("low")).select(F.col("low").alias("u"), F.col("node").alias("v"))
-    links = _verify(first, texts)
-    more = _verify(_round_two(nodes, shared.select("node", "key"), links), texts)
+    nodes = texts.mapInArrow(_signatures, "node string, keys array<long>, sig binary").dropDuplicates(["node"])
+    nodes = cut(nodes.withColumn("h", F.xxhash64("node")))
+    rows = nodes.select("h", F.explode("keys").alias("key"))
+    pivots = [F.min(F.col("h").bitwiseXOR(F.lit(x).cast("long"))).bitwiseXOR(F.lit(x).cast("long")).alias(f"p{k}") for k, x in enumerate(PIVOTS)]
+    buckets = cut(rows.groupBy("key").agg(F.count("*").alias("n"), *pivots).where("n > 1").drop("n"))
+    shared = cut(rows.join(buckets.select("key"), "key"))
+    links = _round_one(nodes, shared, buckets, texts)
+    more = _round_two(nodes, shared, texts, links)
     classes = connected_components(links.union(more)).withColumnRenamed("root", "class")
     low = slim.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     named = low.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
