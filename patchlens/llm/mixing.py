@@ -7,11 +7,12 @@ would be left for the rest exceeds theirs.
 
 Every document of a source is expected target / size times (3 at most). The expected copies of a source's documents are
 prefix-summed, one random offset is added, and a document is emitted once for every integer boundary that its stretch
-crosses. Documents come in the order of strata (a hash of the id), and by size and id within, so sums come near the target.
+crosses. Documents come in the order of strata (a hash of the id); within, sizes rise in one stratum and fall in the next, so
+that what the rounding adds on the way up is given back on the way down, and sums come near the target.
 
 Only DataFrame functions are used. Texts are read once, within the scan, and only (id, source, size) is shuffled. No task
 gathers a source: the prefix sum is taken over the strata's counts and within each stratum; there are about sqrt(rows) / 16
-of them, so a third of all rows is about 5 sqrt(rows) in a task.
+of them (an even number), so a third of all rows is about 5 sqrt(rows) in a task.
 
 Null texts have no words: their size is 0, as for empty texts; they are drawn like others. A null source is a source of its
 own. Repeated rows are documents each, and which of two equal rows is drawn makes no difference. If all sizes are 0, nothing
@@ -65,7 +66,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """id, size, source_size, target, copies, taken (= copies x size) for every row."""
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")))
     n = rows.count()
-    strata = max(1, int(n**0.5) // STRATUM_ROWS)
+    strata = 2 * max(1, -(-int(n**0.5) // (2 * STRATUM_ROWS)))
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("stratum", key % strata)
     cells = cut(rows.groupBy("source", "stratum").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
@@ -75,7 +76,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     cells = cells.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("stratum").alias("t"), "before", "source_size", "target")
     if strata * 100 <= BROADCAST_ROWS and cells.count() <= BROADCAST_ROWS:
         cells = F.broadcast(cells)
-    place = F.row_number().over(Window.partitionBy("source", "stratum").orderBy("size", "id"))
+    rising = F.when(F.col("stratum") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
+    place = F.row_number().over(Window.partitionBy("source", "stratum").orderBy(rising, "id"))
     placed = rows.withColumn("place", place).join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("stratum") == F.col("t")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     edge = lambda i: F.floor(each * i + F.lit(offset(seed)))
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT) // {STRATUM_ROWS}) AS strata FROM d),
+c AS (SELECT 2 * greatest(1, (CAST(floor(sqrt(count(*))) AS BIGINT) + {2 * STRATUM_ROWS - 1}) // {2 * STRATUM_ROWS}) AS strata FROM d),
 r AS (SELECT d.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % strata AS stratum FROM d, c),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {CYCLE} + 1 AS weight FROM s),
@@ -108,7 +110,7 @@ l AS (
     FROM o
 ),
 g AS (SELECT source, source_size, least({CAP}.0::DOUBLE * source_size, coalesce((SELECT arg_min(level, i) FROM l WHERE level * weight <= {CAP} * source_size), 0) * weight) AS target FROM l),
-p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY stratum, size, doc_id NULLS FIRST) AS i FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY stratum, CASE WHEN stratum % 2 = 0 THEN size ELSE -size END, doc_id NULLS FIRST) AS i FROM r),
 e AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(floor(e * i + {offset()!r}::DOUBLE) - floor(e * (i - 1) + {offset()!r}::DOUBLE) AS BIGINT) * size AS taken FROM e
 """
