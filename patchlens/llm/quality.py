@@ -173,7 +173,7 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> RuleModel:
         rules |= dict.fromkeys(tuple(sorted(r)) for r in paths)
         total += SHRINK * step
     rules = list(rules)
-    z = np.array([holds(r, names, x) for r in rules], float).reshape(len(rules), -1).T
+    z = np.array([holds(r, names, x) for r in rules], float).reshape(len(rules), len(y)).T
     bias, weights = _lasso(z, y.astype(float), LASSO)
     return RuleModel(bias, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-3))
 
