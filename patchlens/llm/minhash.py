@@ -24,7 +24,8 @@ Texts are read for nodes that take part in a verification only. Counted candidat
 a shuffle beyond it.
 
 Null texts are in a class of their own each; empty texts, and texts of white space only, are copies of texts equal to them.
-Repeated rows are copies. A class is named by its smallest id (null ids come last). Extra columns are ignored.
+Repeated rows are copies. A class is named by its smallest id (null ids come last), which is no unique name where
+ids repeat or are null: ``root`` tells such classes apart. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -284,7 +285,10 @@ def _round_two(nodes: DataFrame, shared: DataFrame, texts: DataFrame, links: Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id, digest for every row; class_id is the smallest id of the class, digest the md5 of the text."""
+    """id, class_id, digest, root for every row; class_id is the smallest id of the class, digest the md5 of the text.
+
+    root is the smallest digest of the class: it tells classes apart whose smallest ids are equal or null. Null texts have none.
+    """
     digest = F.md5(F.col(text_col).cast("binary"))
     slim = docs.select(F.col(id_col).alias("id"), digest.alias("node"), F.col(text_col).alias("text"))
     texts = slim.where("text is not null").select("node", "text")
@@ -300,15 +304,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = slim.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     named = low.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     names = named.groupBy("class").agg(F.min("low").alias("class_id"))
-    named = named.join(names, "class").select("node", "class_id")
+    named = named.join(names, "class").select("node", "class_id", F.col("class").alias("root"))
     out = slim.select("id", "node").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.col("node").alias("digest"))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.col("node").alias("digest"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs that stand for their class: the row of its smallest id (one, if several rows have it); rows without text stay."""
-    found = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "class_id", F.col("digest").alias("__digest")))
-    stay = found.where("__digest is not null and __id <=> class_id").groupBy("class_id").agg(F.min("__digest").alias("__digest"), F.count("*").alias("__n")).withColumnRenamed("class_id", "__id")
+    found = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "class_id", F.col("digest").alias("__digest"), "root"))
+    # by root: unrelated classes may have the same smallest id, or null
+    stay = found.where("__digest is not null and __id <=> class_id").groupBy("root").agg(F.first("class_id").alias("__id"), F.min("__digest").alias("__digest"), F.count("*").alias("__n"))
     stay = cut(stay)
     n, most = stay.agg(F.count("*"), F.max("__n")).first()
     digest = F.md5(F.col(text_col).cast("binary"))

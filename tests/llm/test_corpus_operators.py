@@ -209,6 +209,15 @@ def test_keep_one_of_repeated_rows(docs_of, odd_rows):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_keep_one_tells_classes_of_equal_ids_apart(docs_of):
+    text = lambda t: " ".join(f"{t}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("a") + " more"), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("d") + " more"), (None, text("d"))]
+    kept = [(r.doc_id, r.text.split()[0]) for r in minhash.keep_one(docs_of(rows)).collect()]
+    assert sorted(kept, key=str) == [(7, "c0"), (7, "d0"), (None, "a0"), (None, "b0")]
+    found = minhash.near_duplicates(docs_of(rows)).collect()
+    assert len({r.root for r in found}) == 4 and {r.class_id for r in found} == {None, 7}
+
+
 def test_registers_estimate_probability_jaccard():
     rng, hashes, errors = random.Random(1), minhash._Hashes(), []
     for _ in range(150):
