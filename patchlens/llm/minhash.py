@@ -8,6 +8,10 @@ are banded (24 bands of 5: a pair at 0.8 is missed with probability 7e-5), candi
 linked if the probability Jaccard similarity, or the plain one of the sets of shingles, is 0.8 or more. Classes are the
 connected components of links.
 
+The plain similarity has registers of its own, drawn with unit weights. They equal the weighted ones unless a text repeats
+some shingles more often than others; such a text has both kinds, in the same buckets, and so up to twice the bands. The
+estimate of a pair is the larger of the agreement of both kinds.
+
 How candidates stay in proportion to the texts, without caps:
 
 * Equal texts collapse to one node first (md5 of the text).
@@ -49,6 +53,7 @@ BROADCAST_NODES = 400_000
 #: Constants that flip bits of the nodes' hashes: each makes another order, whose smallest node is a pivot.
 PIVOTS = (0, -1, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 BEST = 2
+LAST_KEY = np.iinfo(np.int64).max
 #: Rows of tiles that one call takes, besides the last tile.
 CALL_ROWS = 2000
 
@@ -109,6 +114,13 @@ def registers(s: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return first
 
 
+def signature(s: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Registers by weights, then those by unit weights where these may differ."""
+    if not len(s) or weights.min() == weights.max():
+        return registers(s, np.ones(len(s)))
+    return np.concatenate([registers(s, weights), registers(s, np.ones(len(s)))])
+
+
 def band_keys(first: np.ndarray) -> np.ndarray:
     key = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN)
     for column in first.reshape(BANDS, ROWS).T:
@@ -143,8 +155,8 @@ def _signatures(batches):
             keys, kept = [], []
             for text in part.column(1).to_pylist():
                 s, w = shingles(text, hashes)
-                first = registers(s, w)
-                keys.append(band_keys(first) if len(s) else None)
+                first = signature(s, w)
+                keys.append(np.concatenate([band_keys(x) for x in first.reshape(-1, REGISTERS)]) if len(s) else None)
                 kept.append(first.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["node", "keys", "sig"])
 
@@ -159,11 +171,21 @@ def _verified(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
 
+def _both(signatures: list[bytes]) -> np.ndarray:
+    """(text, kind, register): a text of one kind of registers has it twice."""
+    return np.frombuffer(b"".join(x if len(x) > REGISTERS else x + x for x in signatures), np.uint8).reshape(-1, 2, REGISTERS)
+
+
+def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The larger share of equal registers (their last bytes) by weights and by unit weights."""
+    return (a == b).mean(axis=-1).max(axis=-1)
+
+
 def _agreement(batches):
-    """Shares of equal registers (their last bytes) of (u, v, a, b)."""
+    """Estimates of (u, v, a, b)."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], ["u", "v", "near"])
+        a, b = (_both(batch.column(i).to_pylist()) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_estimate(a, b))], ["u", "v", "near"])
 
 
 class _Tile:
@@ -173,8 +195,8 @@ class _Tile:
         column = lambda c: rows[c].to_pylist()
         self.node, self.text, self.key, self.hashes = column("node"), rows["text"], key, hashes
         self.kind, self.side = np.unique(np.array(column("class"), object), return_inverse=True)[1], rows["side"].to_numpy()
-        self.sig = np.frombuffer(b"".join(column("sig")), np.uint8).reshape(-1, REGISTERS)
-        self.keys = np.array(column("keys"), np.int64)
+        self.sig = _both(column("sig"))
+        self.keys = np.array([x if len(x) > BANDS else x + x for x in column("keys")], np.int64).reshape(-1, 2, BANDS)
         self.sets: dict[int, tuple] = {}
 
     def shingles(self, i: int) -> tuple:
@@ -189,10 +211,11 @@ class _Tile:
             other = right[self.kind[right] != self.kind[i]]
             if self.side[i] == 2:
                 other = other[other > i]
-            agree = (self.sig[other] == self.sig[i]).mean(axis=1) if len(other) else np.zeros(0)
+            agree = _estimate(self.sig[other], self.sig[i])
             other, agree = other[agree >= LEAST_ESTIMATE], agree[agree >= LEAST_ESTIMATE]
-            same = self.keys[other] == self.keys[i]
-            first = np.where(same.any(axis=1), self.keys[i][same.argmax(axis=1)], 0) == self.key if len(other) else np.zeros(0, bool)
+            # the pair's turn is in the bucket of its smallest shared key, of whichever kinds
+            same = (self.keys[other][:, :, None] == self.keys[i]).any(axis=1)
+            first = np.where(same, self.keys[i], LAST_KEY).min(axis=(1, 2)) == self.key
             out += zip((-agree[first]).tolist(), [int(i)] * int(first.sum()), other[first].tolist())
         return sorted(out)
 
@@ -294,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = slim.where("text is not null").select("node", "text")
     nodes = texts.mapInArrow(_signatures, "node string, keys array<long>, sig binary").dropDuplicates(["node"])
     nodes = cut(nodes.withColumn("h", F.xxhash64("node")))
-    rows = nodes.select("h", F.explode("keys").alias("key"))
+    rows = nodes.select("h", F.explode(F.array_distinct("keys")).alias("key"))
     pivots = [F.min(F.col("h").bitwiseXOR(F.lit(x).cast("long"))).bitwiseXOR(F.lit(x).cast("long")).alias(f"p{k}") for k, x in enumerate(PIVOTS)]
     buckets = cut(rows.groupBy("key").agg(F.count("*").alias("n"), *pivots).where("n > 1").drop("n"))
     shared = cut(rows.join(buckets.select("key"), "key"))

@@ -218,6 +218,24 @@ def test_keep_one_tells_classes_of_equal_ids_apart(docs_of):
     assert len({r.root for r in found}) == 4 and {r.class_id for r in found} == {None, 7}
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_by_sets_but_not_by_weights(docs_of, monkeypatch, block):
+    """Sets of shingles are equal or near, but passages are repeated so often that their weights aren't."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(200)]
+        for times in (1, 40, 90)[: 2 + k % 2]:
+            rows.append((len(rows), " ".join(words + words[:14] * times), None, "s"))
+    hashes = minhash._Hashes()
+    (a, wa), (b, wb) = (minhash.shingles(rows[i][1], hashes) for i in (0, 1))
+    agree = (minhash.registers(a, wa) == minhash.registers(b, wb)).mean()
+    assert agree < minhash.LEAST_ESTIMATE and minhash.similarity((a, wa), (b, wb)) >= 0.9
+    classes = _classes(rows)
+    assert len(set(classes.values())) == 12
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(rows)).collect()} == classes
+
+
 def test_registers_estimate_probability_jaccard():
     rng, hashes, errors = random.Random(1), minhash._Hashes(), []
     for _ in range(150):
