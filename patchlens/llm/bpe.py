@@ -3,8 +3,8 @@
 Texts are split by the tokenizer's pattern; each distinct piece of a batch is encoded once. Pieces that are a token stand
 for themselves. The others become token-position rows in an in-memory DuckDB: a recursive query joins neighbouring tokens
 with the merge table, contracts each piece's leftmost pair of minimum rank, and goes on until no pair is left. Decoding
-joins ids with the vocabulary and puts the bytes together by ordered aggregation: for whole documents in
-``decode_documents``, and in ``round_trip`` for each distinct piece, a document's ids being its pieces' ids in order.
+joins ids with the vocabulary and puts the bytes together by ordered aggregation, for whole documents in both
+``decode_documents`` and ``round_trip``.
 
 In long pieces (runs without a break), a pair whose token no neighbour can outrank contracts with all its non-overlapping
 repeats in one round, from the left, which is what one by one would give; for the few other tokens it is one at a time.
@@ -315,17 +315,19 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
     return slim.mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
+def _digests(codec: Codec, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    """Digests of each text's ids, and of what these ids decode to as a whole."""
+    ids, _ = codec.encode(texts)
+    decoded = [x for part in parts(ids, len, BATCH_BYTES // 2) for x in codec.decode(ids[part])]
+    digest = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows])
+    return pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids, and keeps digests of both within the same task."""
     if path is None or pattern is None:
         path, pattern = default_tokenizer()
     ranks = docs.sparkSession.sparkContext.broadcast({"name": path, "ranks": read_ranks(path)})
-
-    def make(codec, keys, texts):
-        ids, decoded = codec.encode(texts)
-        digest = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows])
-        return pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
     slim = docs.select(id_col, text_col)
     kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(lambda it: _rows(it, _codec_of(ranks, pattern), make), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lambda it: _rows(it, _codec_of(ranks, pattern), _digests), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

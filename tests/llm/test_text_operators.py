@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from patchlens.llm import bpe, langid, media, pii
@@ -68,6 +69,18 @@ def test_bpe_columns(docs_of, odd_rows, library):
     assert back[8] == odd_rows[-1][1].encode()
 
 
+def test_round_trip_decodes_a_texts_ids():
+    """Digests of what was decoded are those of the ids, not of the text's pieces: ids out of order show."""
+    path, pattern = bpe.default_tokenizer()
+    codec = bpe.Codec(bpe.read_ranks(path), pattern)
+    encode, texts = codec.encode, ["one two three", "", "été 日本 🙂 " * 50]
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    decoded = lambda: bpe._digests(codec, pa.array([1, 2, 3]), texts)["decoded_sha256"].to_pylist()
+    assert decoded() == [digest(t.encode()) for t in texts]
+    codec.encode = lambda texts: ([np.frombuffer(x, "<u4")[::-1].tobytes() for x in encode(texts)[0]], encode(texts)[1])
+    assert [a == digest(t.encode()) for a, t in zip(decoded(), texts)] == [False, True, False]
+
+
 def _brute(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
