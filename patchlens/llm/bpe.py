@@ -6,8 +6,8 @@ with the merge table, contracts each piece's leftmost pair of minimum rank, and
 joins ids with the vocabulary and puts the bytes together by ordered aggregation, for whole documents in both
 ``decode_documents`` and ``round_trip``.
 
-In long pieces (runs without a break), a pair whose token no neighbour can outrank contracts with all its non-overlapping
-repeats in one round, from the left, which is what one by one would give; for the few other tokens it is one at a time.
+In long pieces (runs without a break) all pairs contract in a round whose neighbours can't be first, which is what one by one
+would give: rounds grow with the depth of merges (some 3 to 6), not with the piece.
 
 Everything happens within a task, batch by batch: no shuffle, memory bounded by a batch and a bounded cache of pieces, and
 a lost executor's tasks simply run again. The rank file is read by the driver and broadcast (its size is fixed, about 1 MB).
@@ -26,17 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of pieces that one recursive query takes at once.
-ROUND_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+ROUND_BYTES = 1 << 18
+CACHE_PIECES = 150_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
-#: Pieces of fewer bytes contract one pair a round, longer ones may contract a pair's repeats with it; both give the same.
+#: Pieces of fewer bytes contract one pair a round, longer ones every pair that is settled; both give the same.
 SHORT = 64
 
-#: Table pieces(w, pos, tok) -> each piece's ids in order, and their bytes. A token that went into its left neighbour is -1.
-#: The query goes on from the rows that the last round changed; ``round`` changes in each, so they are all of a piece's rows.
+#: Table pieces(w, pos, tok) -> each piece's ids in order. A token that went into its left neighbour is -1.
 ENCODE_SHORT = f"""
 WITH RECURSIVE state(w, pos, tok, round) USING KEY (w, pos) AS (
     SELECT w, pos, tok, 0 FROM pieces
@@ -54,38 +53,48 @@ WITH RECURSIVE state(w, pos, tok, round) USING KEY (w, pos) AS (
         FROM pairs JOIN firsts USING (w)
     )
 )
-SELECT w, list(tok ORDER BY pos) AS toks, string_agg(hex, '' ORDER BY pos) AS hex
-FROM state JOIN vocabulary ON id = tok WHERE tok >= 0 GROUP BY w ORDER BY w
+SELECT w, list(tok ORDER BY pos) AS toks FROM state WHERE tok >= 0 GROUP BY w ORDER BY w
 """
+#: A pair (a, b) of rank r is settled if no longer token that could still form ends where a ends at a rank of r or less, and
+#: none begins where b begins at one below r: only those could take a or b first. Table places(w, pos, stop, rank) has every
+#: token that stands anywhere in a piece's text; those between present tokens' bounds could still form. In a run of
+#: overlapping pairs of one rank every second one contracts, from the run's left, as far as all are settled. The leftmost pair
+#: of minimum rank always goes.
 ENCODE_LONG = """
 WITH RECURSIVE state(w, pos, tok, round) USING KEY (w, pos) AS (
     SELECT w, pos, tok, 0 FROM pieces
   UNION ALL
-    SELECT w, pos, CASE WHEN hit THEN lowest WHEN lag(hit) OVER (PARTITION BY w ORDER BY pos) THEN -1 ELSE tok END AS tok, round + 1
-    FROM (
-        SELECT *, rank = lowest AND island_nth % 2 = 1 AND (alone OR rank_nth = 1) AS hit
-        FROM (
-            SELECT *, row_number() OVER (PARTITION BY w, rank, island ORDER BY pos) AS island_nth
-            FROM (
-                SELECT *, min(rank) OVER (PARTITION BY w) AS lowest, row_number() OVER (PARTITION BY w, rank ORDER BY pos) AS rank_nth, nth - rank_nth AS island
-                FROM (
-                    SELECT n.*, m.rank, m.alone
-                    FROM (
-                        SELECT w, pos, tok, round, lead(tok) OVER near AS next, row_number() OVER near AS nth
-                        FROM state WHERE tok >= 0 WINDOW near AS (PARTITION BY w ORDER BY pos)
-                    ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next
-                )
-            )
-        )
+    (
+        WITH live AS MATERIALIZED (
+            SELECT w, pos, tok, round, lead(tok) OVER near AS next, lead(pos) OVER near AS stop, row_number() OVER near AS nth
+            FROM state WHERE tok >= 0 WINDOW near AS (PARTITION BY w ORDER BY pos)
+        ),
+        open AS MATERIALIZED (
+            SELECT p.w, p.pos, p.stop, p.rank FROM places p JOIN live a ON a.w = p.w AND a.pos = p.pos LEFT JOIN live b ON b.w = p.w AND b.pos = p.stop
+            WHERE p.rank <> a.tok AND (p.last OR b.pos IS NOT NULL)
+        ),
+        pairs AS (
+            SELECT l.*, m.rank, coalesce(e.rank, 2147483647) AS ends, coalesce(b.rank, 2147483647) AS begins
+            FROM live l LEFT JOIN merges m ON m.l = l.tok AND m.r = l.next
+            LEFT JOIN (SELECT w, stop, min(rank) AS rank FROM open GROUP BY ALL) e ON e.w = l.w AND e.stop = l.stop
+            LEFT JOIN (SELECT w, pos, min(rank) AS rank FROM open GROUP BY ALL) b ON b.w = l.w AND b.pos = l.stop
+        ),
+        beside AS (SELECT *, lag(rank) OVER (PARTITION BY w ORDER BY pos) AS before, min(rank) OVER (PARTITION BY w) AS lowest FROM pairs),
+        judged AS (SELECT *, coalesce(rank = before, false) AS same, coalesce((rank < ends OR rank = before AND rank = ends) AND rank <= begins, false) AS settled FROM beside WHERE lowest IS NOT NULL),
+        runs AS (
+            SELECT *, rank = lowest AND row_number() OVER (PARTITION BY w, rank ORDER BY pos) = 1 AS leftmost,
+                max(CASE WHEN NOT same THEN nth END) OVER upto AS run, max(CASE WHEN NOT settled THEN nth ELSE -1 END) OVER upto AS unsettled
+            FROM judged WINDOW upto AS (PARTITION BY w ORDER BY pos)
+        ),
+        hits AS (SELECT *, rank IS NOT NULL AND (leftmost OR (nth - run) % 2 = 0 AND run > unsettled) AS hit FROM runs)
+        SELECT w, pos, CASE WHEN hit THEN rank WHEN lag(hit) OVER (PARTITION BY w ORDER BY pos) THEN -1 ELSE tok END AS tok, round + 1 FROM hits
     )
-    WHERE lowest IS NOT NULL
 )
-SELECT w, list(tok ORDER BY pos) AS toks, string_agg(hex, '' ORDER BY pos) AS hex
-FROM state JOIN vocabulary ON id = tok WHERE tok >= 0 GROUP BY w ORDER BY w
+SELECT w, list(tok ORDER BY pos) AS toks FROM state WHERE tok >= 0 GROUP BY w ORDER BY w
 """
 
 DECODE = """
-SELECT i.doc, string_agg(v.hex, '' ORDER BY i.pos) AS hex
+SELECT i.doc, string_agg(v.text, '' ORDER BY i.pos) AS text
 FROM ids i JOIN vocabulary v ON v.id = i.id GROUP BY i.doc
 """
 
@@ -96,16 +105,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """(l, r, rank, alone): every way to put two tokens together to one. alone: no pair with the new token outranks it."""
-    rows, outranked = [], set()
+    """(l, r, rank): every way to put two tokens together to one."""
+    rows = []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
                 rows.append((left, right, rank))
-                outranked.update(x for x in (left, right) if x > rank)
-    left, right, rank = np.array(rows, np.int32).reshape(-1, 3).T
-    return pa.table({"l": left, "r": right, "rank": rank, "alone": [int(x) not in outranked for x in rank]})
+    return pa.table(dict(zip(("l", "r", "rank"), np.array(rows, np.int32).reshape(-1, 3).T, strict=True)))
+
+
+class Places:
+    """Finds the tokens that stand anywhere in pieces, by polynomials of their bytes modulo 2^64."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_size: dict[int, list[tuple[bytes, int]]] = {}
+        for token, rank in ranks.items():
+            by_size.setdefault(len(token), []).append((token, rank))
+        self.tables = []
+        for n in sorted(by_size.keys() - {1}):
+            tokens = np.frombuffer(b"".join(t for t, _ in by_size[n]), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
+            hashes = (tokens * self.powers(self.BASE, n)).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(hashes)
+            self.tables.append((n, hashes[order], np.array([r for _, r in by_size[n]], np.int32)[order]))
+
+    @staticmethod
+    def powers(x: int, n: int) -> np.ndarray:
+        out = np.full(n, np.uint64(x))
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def of(self, data: np.ndarray, w: np.ndarray) -> pa.Table:
+        """(w, pos, stop, rank, last) of the tokens of two bytes or more in pieces, whose bytes follow one another; w says which piece a byte is in."""
+        size = len(data)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers(self.BASE, size), dtype=np.uint64, out=sums[1:])
+        back = self.powers(pow(self.BASE, -1, 1 << 64), size + 1)
+        first, end = np.searchsorted(w, w), np.searchsorted(w, w, side="right")
+        found = []
+        for n, hashes, ranks in self.tables:
+            at = np.arange(max(0, size - n + 1))
+            at = at[end[at] >= at + n]
+            own = (sums[at + n] - sums[at]) * back[at]
+            i = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            hit = hashes[i] == own
+            at, i = at[hit], i[hit]
+            found.append((w[at], at - first[at], at - first[at] + n, ranks[i], end[at] == at + n))
+        w, pos, stop, rank, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "stop": stop.astype(np.int32), "rank": rank, "last": last})
 
 
 #: The pattern that ``Splitter`` follows by arrays; any other one is left to the regular expression engine.
@@ -175,61 +224,62 @@ class Codec:
 
         self.ranks = ranks
         self.split = Splitter(pattern)
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.places: Places | None = None
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "max_temp_directory_size": "0B"})
         self.db.register("merge_rows", merge_table(ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         ids, tokens = list(ranks.values()), list(ranks)
-        self.db.register("vocabulary_rows", pa.table({"id": pa.array(ids, pa.int32()), "hex": [t.hex() for t in tokens]}))
+        self.db.register("vocabulary_rows", pa.table({"id": pa.array(ids, pa.int32()), "text": [t.decode("latin-1") for t in tokens]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
         self.bytes = np.zeros(256, np.int32)
         for b in range(256):
             self.bytes[b] = ranks[bytes([b])]
 
-    def contract(self, pieces: list[bytes], query: str) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, bytes decoded from them) of each piece."""
+    def contract(self, pieces: list[bytes], query: str) -> Iterator[bytes]:
+        """The ids of each piece."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         w = np.repeat(np.arange(len(pieces)), sizes)
         starts = np.cumsum(sizes) - sizes
-        tok = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        tok = self.bytes[data]
+        if query == ENCODE_LONG:
+            self.places = self.places or Places(self.ranks)
+            self.db.register("places", self.places.of(data, w))
         self.db.register("pieces", pa.table({"w": w.astype(np.int32), "pos": (np.arange(len(w)) - starts[w]).astype(np.int32), "tok": tok}))
         found = self.db.sql(query).to_arrow_table().combine_chunks()
         toks = found["toks"].combine_chunks()
         values, ends = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4"), toks.offsets.to_numpy()
-        for a, b, text in zip(ends[:-1], ends[1:], found["hex"].to_pylist(), strict=True):
-            yield values[a:b].tobytes(), bytes.fromhex(text)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield values[a:b].tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Puts (ids, decoded bytes) of pieces that aren't in the cache there. What a full cache held is only looked up again."""
+        """Puts the ids of pieces that aren't in the cache there. What a full cache held is only looked up again."""
         if len(self.words) + len(words) > CACHE_PIECES:
             self.words, self.older = {}, self.words
         new = [x for x in words if x not in self.words]
         if self.older:
             self.words |= {x: self.older[x] for x in new if x in self.older}
             new = [x for x in new if x not in self.older]
-        short, long, whole = [], [], []
+        short, long = [], []
         for x in new:
             data = x.encode()
             rank = self.ranks.get(data)
             if rank is not None:
-                whole.append((x, rank))
+                self.words[x] = rank.to_bytes(4, "little")
             else:
                 (short if len(data) < SHORT else long).append((x, data))
-        self.words |= {x: (rank.to_bytes(4, "little"), self.tokens[rank]) for x, rank in whole}
         for pieces, query in ((short, ENCODE_SHORT), (long, ENCODE_LONG)):
             for part in parts(pieces, lambda p: len(p[1]), ROUND_BYTES):
                 self.words |= zip((x for x, _ in pieces[part]), self.contract([p for _, p in pieces[part]], query), strict=True)
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Each text's ids as little-endian unsigned 32-bit integers, and the bytes that those decode to, piece by piece."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         pieces, counts = self.split(texts)
         self.learn(set(pieces))
-        pairs = list(map(self.words.__getitem__, pieces))
         ends = np.cumsum(counts).tolist()
-        spans = list(zip([0, *ends[:-1]], ends, strict=True))
-        return tuple([b"".join([p[i] for p in pairs[a:b]]) for a, b in spans] for i in (0, 1))
+        return [b"".join(map(self.words.__getitem__, pieces[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
@@ -238,8 +288,8 @@ class Codec:
         flat = np.concatenate([*arrays, np.zeros(0, np.int32)])
         self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int64), "id": flat}))
         out = [b""] * len(arrays)
-        for d, h in self.db.execute(DECODE).fetchall():
-            out[d] = bytes.fromhex(h)
+        for d, text in self.db.execute(DECODE).fetchall():
+            out[d] = text.encode("latin-1")
         return out
 
 
@@ -289,7 +339,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     ranks = docs.sparkSession.sparkContext.broadcast({"name": path, "ranks": read_ranks(path)})
 
     def make(codec, keys, texts):
-        ids, _ = codec.encode(texts)
+        ids = codec.encode(texts)
         return pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     slim = docs.select(id_col, text_col)
@@ -317,7 +367,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
 
 def _digests(codec: Codec, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
     """Digests of each text's ids, and of what these ids decode to as a whole."""
-    ids, _ = codec.encode(texts)
+    ids = codec.encode(texts)
     decoded = [x for part in parts(ids, len, BATCH_BYTES // 2) for x in codec.decode(ids[part])]
     digest = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows])
     return pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
