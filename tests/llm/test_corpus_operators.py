@@ -177,7 +177,7 @@ def _classes(rows):
     return {i: _roots(pairs).get(i, i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_near_duplicates(docs_of, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = _near()
@@ -218,7 +218,7 @@ def test_keep_one_tells_classes_of_equal_ids_apart(docs_of):
     assert len({r.root for r in found}) == 4 and {r.class_id for r in found} == {None, 7}
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_near_by_sets_but_not_by_weights(docs_of, monkeypatch, block):
     """Sets of shingles are equal or near, but passages are repeated so often that their weights aren't."""
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -227,8 +227,7 @@ def test_near_by_sets_but_not_by_weights(docs_of, monkeypatch, block):
         words = [f"w{k}x{i}" for i in range(200)]
         for times in (1, 40, 90)[: 2 + k % 2]:
             rows.append((len(rows), " ".join(words + words[:14] * times), None, "s"))
-    hashes = minhash._Hashes()
-    (a, wa), (b, wb) = (minhash.shingles(rows[i][1], hashes) for i in (0, 1))
+    (a, wa), (b, wb) = (minhash.shingles(rows[i][1]) for i in (0, 1))
     agree = (minhash.registers(a, wa) == minhash.registers(b, wb)).mean()
     assert agree < minhash.LEAST_ESTIMATE and minhash.similarity((a, wa), (b, wb)) >= 0.9
     classes = _classes(rows)
@@ -236,15 +235,31 @@ def test_near_by_sets_but_not_by_weights(docs_of, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(rows)).collect()} == classes
 
 
+def test_shingles_and_registers_of_many_texts():
+    """Texts worked on together give what they give alone, with every kind of white space."""
+    rng = random.Random(4)
+    texts = [rng.choice(" \n\x1c\u3000\xa0").join(f"é{rng.randrange(40)}" for _ in range(rng.choice((0, 1, 4, 5, 6, 90)))) for _ in range(150)] + ["", " \t\u2003", "x " * 300, " a\u3000b "]
+    of, s, n = minhash.shingles_of(texts)
+    together = minhash.signatures(texts)
+    for i, text in enumerate(texts):
+        words = text.split()
+        want = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else {}
+        assert sorted(n[of == i].tolist()) == sorted(want.values())
+        alone, counts = minhash.shingles(text)
+        assert (s[of == i] == alone).all() and (n[of == i] == counts).all()
+        assert (together[i] == minhash.signatures([text])[0]).all()
+    assert minhash.shingles_of([])[1].size == 0 and minhash.signatures([]) == []
+
+
 def test_registers_estimate_probability_jaccard():
-    rng, hashes, errors = random.Random(1), minhash._Hashes(), []
+    rng, errors = random.Random(1), []
     for _ in range(150):
         a = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((3, 20, 100, 300)))]
         b = list(a)
         for _ in range(rng.choice((0, 1, 3, 10))):
             b[rng.randrange(len(b))] = f"w{rng.randrange(3000)}"
         a = a + a[: len(a) // 2]
-        x, y = minhash.shingles(" ".join(a), hashes), minhash.shingles(" ".join(b), hashes)
+        x, y = minhash.shingles(" ".join(a)), minhash.shingles(" ".join(b))
         da, db = dict(zip(*map(np.ndarray.tolist, x))), dict(zip(*map(np.ndarray.tolist, y)))
         jp = sum(1 / sum(max(da.get(k, 0) / da[i], db.get(k, 0) / db[i]) for k in set(da) | set(db)) for i in set(da) & set(db))
         plain = len(set(da) & set(db)) / len(set(da) | set(db))
