@@ -20,10 +20,13 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is named (local tests) a temporary one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Without one, a temporary folder in local mode, else an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -33,9 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
-    """Hint a broadcast only where the counted rows stay under a bound; else the planner shuffles (and splits skewed keys)."""
-    return F.broadcast(df) if n_rows <= max_rows else df
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store Spark reaches it."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1 and so on, and the new name of each old one: whatever they are called does no harm then."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), at
 
 
 def with_steps(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
