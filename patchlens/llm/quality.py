@@ -5,7 +5,7 @@ bounded sample of labelled rows, boosted trees of depth ``DEPTH`` are grown; eve
 rule. Logistic regression with a lasso penalty weighs the rules, most to zero, and the remaining ones are compiled into one
 column expression: scoring is a scan, without Python or a shuffle.
 
-Learning takes at most about ``SAMPLE_ROWS`` labelled rows, drawn by a hash of the id (reruns agree); their ids are broadcast
+Learning takes at most about ``SAMPLE_ROWS`` labelled rows, the first by a hash of the id (reruns agree); their ids are broadcast
 to the scan that works out their statistics, and only numbers come to the driver. Rows with a null label are left out.
 Repeated ids count as often as they match.
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_steps
+from .common import by_place, with_steps
 
 SAMPLE_ROWS = 6000
 TREES, DEPTH, CUTS, LEAF = 16, 3, 24, 15
@@ -182,17 +182,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of label_col (0 or 1) from the rows of labels, which hold what may be learnt from."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
     every = max(1, -(-known.count() // SAMPLE_ROWS))
-    sample = known.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(every)) == 0).limit(2 * SAMPLE_ROWS)
+    key = F.xxhash64("__id", F.lit("quality"))
+    sample = known.where(F.pmod(key, F.lit(every)) == 0).orderBy(key, "__id", "__y").limit(2 * SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__key") == F.col("__id")).select("text", F.col("__y").alias("y"), F.col("__key").alias("key"))
-    found = with_statistics(rows).select("key", "y", "stats.*").limit(4 * SAMPLE_ROWS).toPandas()
+    found = with_statistics(rows).select("key", "y", "stats.*")
+    found = found.orderBy(*found.columns).limit(4 * SAMPLE_ROWS).toPandas()
     found = found.sort_values(list(found.columns), kind="stable")
     names = list(found.columns[2:])
     return fit_rules(names, found[names].to_numpy(float), found["y"].to_numpy(int))
 
 
-def score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """docs with ``score`` (0 to 1, higher is better), in place of a column of that name."""
-    names = docs.columns
-    # names by position: a column called like one of the statistics' steps does no harm
-    scored = with_statistics(docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text_col)}")
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != "score"], model.column().alias("score"))
+def score(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col (0 to 1, higher is better), in place of a column of that name."""
+    rows, at = by_place(docs)
+    scored = with_statistics(rows, at[text_col])
+    return scored.select(*[F.col(v).alias(c) for c, v in at.items() if c != score_col], model.column().alias(score_col))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, with the columns of docs, whatever they are called."""
+    rows, at = by_place(docs)
+    kept = score(rows, model, at[text_col]).where(F.col("score") >= threshold)
+    return kept.select(*[F.col(v).alias(c) for c, v in at.items()])
