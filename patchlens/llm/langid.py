@@ -7,22 +7,23 @@ and the language with the smallest total wins. Letters are lower-cased first, so
 The margin is how much smaller the best total is than the second best, as a share of the latter; ``rejected`` says that
 it is below ``MIN_MARGIN``. The score is the best language's share when languages are weighed by 2^(-bits saved / text length).
 
-Learning takes at most ``SAMPLE_DOCS`` passages of ``PASSAGE`` characters a language from rows that the caller calls
-labelled (null languages are left out); sampled by a hash of the id, sorted, so reruns agree. The number of languages is
-bounded by ``MAX_LANGUAGES``. Scoring covers every text whole, within its task; nothing is shuffled.
+Learning takes a bounded sample of the rows that the caller calls labelled (null languages are left out): their whole texts
+are cut into passages of ``PASSAGE`` characters, and each language's dictionary is made of the ``SAMPLE_PASSAGES`` passages
+with the smallest hashes of id and place (reruns agree). Of more than ``MAX_LANGUAGES`` languages the most frequent ones are
+learnt, ties by name. Scoring covers every text whole, within its task; nothing is shuffled.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if there is no labelled row. Repeated rows
-each get their row; other columns are ignored.
+each get their row; other columns are ignored. Languages of equal size tie to the more frequent one, then by name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 150
+SAMPLE_PASSAGES = 150
 PASSAGE = 600
 MAX_LANGUAGES = 500
 CHUNK = 1000
@@ -31,24 +32,24 @@ UNDETERMINED = "und"
 
 
 def learn_dictionaries(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Language -> dictionary content, the most frequent language first: it wins ties. Passages are taken from the middle of texts, where headers are rare."""
-    known = docs.where(labelled & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    """Language -> dictionary content, the most frequent language first: it wins ties."""
+    known = docs.where(labelled & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
+    pieces = F.ceil(F.length("text") / PASSAGE).cast("long")
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(pieces).alias("pieces")).orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return {}
-    every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["count"] // (2 * SAMPLE_DOCS)))])
-    length = F.length(text_col)
-    passage = F.substring(F.lower(text_col), F.greatest(F.lit(1), F.floor((length - PASSAGE) / 2).cast("int")), F.lit(PASSAGE))
-    key = F.xxhash64(id_col, F.lit("dictionary"))
-    sample = known.where(F.pmod(key, F.element_at(every, F.col(lang_col))) == 0)
-    sample = sample.select(F.col(lang_col).alias("lang"), key.alias("key"), passage.alias("passage"))
+    every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["pieces"] // (2 * SAMPLE_PASSAGES)))])
+    # hashes first, so that only chosen passages are cut out of their texts
+    key = lambda i: F.xxhash64("id", i, F.length("text"), F.lit("passage"))
+    chosen = F.filter(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda i: F.pmod(key(i), F.element_at(every, F.col("lang"))) == 0)
+    passages = known.where(F.element_at(every, F.col("lang")).isNotNull()).select("lang", "id", "text", F.explode(chosen).alias("i"))
+    passages = passages.select("lang", key(F.col("i")).alias("key"), F.substring("text", F.col("i").cast("int") * PASSAGE + 1, F.lit(PASSAGE)).alias("passage")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key", "passage"))
     of: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.limit(8 * SAMPLE_DOCS * len(counts)).collect():
-        of.setdefault(r["lang"], []).append((r["key"], r["passage"]))
-    rows = {r["lang"]: r["count"] for r in counts}
-    return {k: "\n".join(p for _, p in sorted(set(of[k]))[:SAMPLE_DOCS]).encode() for k in sorted(of, key=lambda k: (-rows[k], k))}
+    for r in passages.withColumn("k", first).where(F.col("k") <= SAMPLE_PASSAGES).collect():
+        of.setdefault(r["lang"], []).append((r["k"], r["passage"]))
+    rows = {r["lang"]: r["rows"] for r in counts}
+    return {k: "\n".join(p for _, p in sorted(of[k])).encode() for k in sorted(of, key=lambda k: (-rows[k], k))}
 
 
 class Compressors:
