@@ -99,7 +99,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rest = goals.join(small_side(settled.select(F.col("source").alias("s"), words.alias("words"), large_size.alias("large_size"))), same("s"), "left")
     zero = F.lit(0).cast("long")
     left, small = F.col("target") - F.coalesce("words", zero), F.col("source_size") - F.coalesce("large_size", zero)
-    each = F.when(small > 0, F.least(F.greatest(left / small, F.lit(0.0)), F.lit(float(CAP)))).otherwise(0.0)
+    each = F.when(small > 0, F.least(F.greatest(left / small, F.lit(0.0)), F.lit(float(CAP)))).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     strata = 2 * F.greatest(F.lit(1), F.ceil(F.floor(F.sqrt("n")) / STRATA)).cast("long")
     rest = cut(rest.select(F.col("source").alias("s"), "source_size", "target", strata.alias("strata"), each.alias("each")))
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")

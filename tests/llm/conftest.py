@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as columns of the input.
-CLASHES = ["id", "node", "key", "keys", "sig", "size", "target", "taken", "copies", "place", "score", "stats", "site", "line", "total", "lines_total", "u", "v", "class", "class_id", "hash", "media", "host", "path", "rule", "rank", "x"]
+CLASHES = ["id", "node", "key", "keys", "sig", "size", "target", "taken", "copies", "place", "score", "stats", "site", "line", "total", "lines_total", "u", "v", "class", "class_id", "hash", "media", "host", "path", "rule", "rank", "x", "c0", "c1", "kept", "boilerplate", "lines_dropped", "stands", "digest", "root", "low", "n", "rows", "nth", "each", "copy", "stratum", "s", "__site", "__lines", "__n", "__kept", "__key", "__nth", "__each", "__copy", "__rows", "__d", "__id", "__digest", "__text", "__words"]
 
 
 @pytest.fixture(scope="session")
