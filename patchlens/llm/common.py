@@ -31,9 +31,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: what follows survives lost executors."""
+    """Write df to the shared checkpoint folder and go on from there: what follows survives lost executors.
+
+    Shuffle files of earlier steps go when the driver's garbage is collected, which it seldom is by itself: so it is here.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

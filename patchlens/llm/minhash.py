@@ -52,7 +52,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Nodes a side of a tile: 120 or 240 bytes of registers each.
-BLOCK = 1024
+BLOCK = 512
 #: 0.8 less five standard deviations of the estimate
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Names of nodes (32 characters each) that are broadcast at most.

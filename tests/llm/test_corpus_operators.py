@@ -219,7 +219,7 @@ def _classes(rows):
     return {i: _roots(pairs).get(i, i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates(docs_of, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = _near()
@@ -260,7 +260,7 @@ def test_keep_one_tells_classes_of_equal_ids_apart(docs_of):
     assert len({r.root for r in found}) == 4 and {r.class_id for r in found} == {None, 7}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_near_by_sets_but_not_by_weights(docs_of, monkeypatch, block):
     """Sets of shingles are equal or near, but passages are repeated so often that their weights aren't."""
     monkeypatch.setattr(minhash, "BLOCK", block)
