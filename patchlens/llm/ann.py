@@ -9,6 +9,7 @@ the end. Bounds only drop pairs that cannot be among the k, so the search is exa
 
 Vectors that are equal tie in every product, so within a block only the k + 1 smallest ids of equal ones can matter (the
 query itself takes one of them); the rest of them leave before the products. A common vector thus costs no more than others.
+Rows that repeat id and vector are counted first and dealt k + 1 times at most.
 
 Nothing is broadcast. Queries are a stated share of all rows; each candidate is shuffled once for every ``QUERY_BLOCKS``
 query blocks of ``BLOCK`` rows, and each query once for every group of candidates; a task holds one group of
@@ -113,7 +114,9 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest inner products, ties to smaller ids."""
     slim = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    candidates = slim(vectors)
+    # rows that are equal as a whole would all be dealt to one place: more than k + 1 of them can't matter
+    candidates = slim(vectors).groupBy("id", "x").agg(F.count("*").alias("n"))
+    candidates = candidates.select("id", "x", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k + 1)).cast("int"))).alias("copy"))
     asked = slim(queries).groupBy("id").agg(F.min("x").alias("x"))
     n_candidates, n_queries = candidates.count(), asked.count()
     groups, blocks = max(1, -(-n_candidates // (BLOCK * GROUP))), max(1, -(-n_queries // BLOCK))

@@ -1,7 +1,8 @@
 """URL filter by redirect equivalence.
 
 Rules name a host and a path prefix. Redirects (``<meta http-equiv=refresh>``) and canonical links (``<link rel=canonical>``)
-are edges between addresses; addresses of one connected component are aliases. An address keeps the verdict of its own
+are edges between addresses; addresses of one connected component are aliases. Tags in comments don't count; links are resolved
+against the page's ``<base href>`` if it has one, without dot segments; links of schemes without ``://`` lead nowhere. An address keeps the verdict of its own
 longest rule. One that no rule fits takes its component's: allow if any alias is explicitly allowed, else block if any alias
 is blocked, else allow.
 
@@ -9,7 +10,8 @@ Only DataFrame functions are used. The rules become one expression, so pages are
 pages of addresses that have edges, are shuffled.
 
 Nulls, empty or malformed addresses (no ``://``) have empty host and path, fit no rule, have no aliases, and are allowed.
-Repeated rows each get their row. Extra columns are ignored.
+Very long addresses and pages are read whole; repeated rows each get their row; rules of one length tie by their letters.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,41 +51,61 @@ def rule_of(host: Column, path: Column, rules=RULES, what: int | None = None) ->
     return out
 
 
-def address(url: Column) -> Column:
-    """What makes an address a vertex: lower-case scheme and host, no fragment; null if there is no ``://``."""
-    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments; most paths have none and stay as they are."""
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(""), step)
+    return F.when(path.contains("/."), F.concat(folded, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))).otherwise(path)
 
 
-def resolved(df: DataFrame) -> DataFrame:
-    """(u, v) of (base, link): the page's address, and where the link leads."""
-    df = with_steps(df.select("base", F.replace(F.trim("link"), F.lit("&amp;"), F.lit("&")).alias("link")), {
-        "scheme": F.regexp_extract("base", r"(?s)^(.*?:)//", 1),
-        "origin": F.regexp_extract("base", r"(?s)^(.*?://[^/?#]*)", 1),
-        "folder": F.regexp_extract("base", r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1),
-        "page": F.regexp_extract("base", r"(?s)^([^?#]*)", 1),
+def address(url: Column) -> Column:
+    """What makes an address a vertex: lower-case scheme and host, no dot segments, no fragment; null if there is no ``://``."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"(?s)^.*?://[^?#]*([^#]*)", 1)
+    return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), _without_dots(path), query))
+
+
+def _absolute(df: DataFrame, base: str, link: str, name: str) -> DataFrame:
+    """df with the address that a link on the page base leads to; null if it leads nowhere."""
+    df = with_steps(df, {"plain": F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))})
+    df = with_steps(df, {
+        "scheme": F.regexp_extract(base, r"(?s)^(.*?:)//", 1),
+        "origin": F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1),
+        "folder": F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1),
+        "page": F.regexp_extract(base, r"(?s)^([^?#]*)", 1),
     })
-    link = F.col("link")
+    to = F.col("plain")
     target = (
-        F.when(link == "", F.col("base"))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat("scheme", link))
-        .when(link.startswith("/"), F.concat("origin", link))
-        .when(link.startswith("?"), F.concat("page", link))
-        .otherwise(F.concat("folder", F.when(F.col("folder") == F.col("origin"), "/").otherwise(""), link))
+        F.when((to == "") | to.startswith("#"), F.col(base))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(to.startswith("//"), F.concat("scheme", to))
+        .when(to.startswith("/"), F.concat("origin", to))
+        .when(to.startswith("?"), F.concat("page", to))
+        .otherwise(F.concat("folder", F.when(F.col("folder") == F.col("origin"), "/").otherwise(""), to))
     )
-    df = with_steps(with_steps(df, {"target": target}), {"u": address(F.col("base")), "v": address(F.col("target"))})
-    return df.select("u", "v").where("u <> v").distinct()
+    return with_steps(df, {name: target}).drop("plain", "scheme", "origin", "folder", "page")
+
+
+def _attribute(tag: str, name: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1), "[\"']", "")
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(u, v): pages' addresses and where their redirect or canonical tags point."""
-    tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"(?i)canonical|refresh"))
-    parts = {k: F.regexp_replace(F.regexp_extract("tag", rf"""(?is)\s{k}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1), "[\"']", "") for k in ("rel", "href", "http-equiv", "content")}
-    found = with_steps(pages.select(F.col("url").alias("base"), F.explode(tags).alias("tag")), parts)
+    rows = pages.select("url", "html").where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://"))
+    rows = with_steps(rows, {"shown": F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")})
+    tags = F.filter(F.regexp_extract_all("shown", F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"(?i)canonical|refresh"))
+    rows = rows.select("url", F.regexp_extract("shown", r"(?i)<base\b[^>]*>", 0).alias("base_tag"), F.explode(tags).alias("tag"))
+    found = with_steps(rows, {"base_href": _attribute("base_tag", "href"), "rel": _attribute("tag", "rel"), "href": _attribute("tag", "href"), "equiv": _attribute("tag", "http-equiv"), "content": _attribute("tag", "content")})
     canonical = F.when(F.lower("rel").rlike(r"(^|\s)canonical(\s|$)"), F.col("href"))
-    refresh = F.when(F.lower("http-equiv") == "refresh", F.regexp_extract("content", r"(?is)^\s*[0-9.]+\s*[;,]\s*url\s*=\s*(.*)", 1))
-    return resolved(with_steps(found, {"link": F.coalesce(canonical, refresh)}).where("link is not null and link <> ''"))
+    refresh = F.when(F.lower("equiv") == "refresh", F.regexp_extract("content", r"(?is)^\s*[0-9.]+\s*[;,]\s*url\s*=\s*(.*)", 1))
+    found = with_steps(found, {"link": F.coalesce(canonical, refresh)}).where("link is not null and link <> ''")
+    found = _absolute(found, "url", "base_href", "own_base")
+    found = with_steps(found, {"base": F.coalesce("own_base", "url")})
+    ends = with_steps(_absolute(found, "base", "link", "target"), {"u": address(F.col("url")), "v": address(F.col("target"))})
+    return ends.select("u", "v").where("u <> v").distinct()
 
 
 def alias_verdicts(edges: DataFrame, rules=RULES) -> DataFrame:
@@ -128,25 +150,31 @@ def sql(rules=RULES) -> str:
     host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
     path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
     head = lambda u: f"regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1)"
-    node = lambda u: f"CASE WHEN {head(u)} <> '' THEN translate({head(u)}, '{UPPER}', '{LOWER}') || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
-    attribute = lambda k: f"""regexp_replace(regexp_extract(tag, '(?is)\\s{k}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), '["'']', '', 'g')"""
+    parts = lambda u: f"string_split({path(u)}, '/')"
+    folded = lambda u: f"list_reduce({parts(u)}, lambda done, x: CASE x WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || x END) || CASE WHEN {parts(u)}[-1] IN ('.', '..') THEN '/' ELSE '' END"
+    tidy = lambda u: f"CASE WHEN contains({path(u)}, '/.') THEN {folded(u)} ELSE {path(u)} END"
+    node = lambda u: f"CASE WHEN {head(u)} <> '' THEN translate({head(u)}, '{UPPER}', '{LOWER}') || {tidy(u)} || regexp_extract({u}, '(?s)^.*?://[^?#]*([^#]*)', 1) END"
+    attribute = lambda tag, k: f"""regexp_replace(regexp_extract({tag}, '(?is)\\s{k}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), '["'']', '', 'g')"""
+
+    def absolute(base: str, link: str) -> str:
+        folder = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1)"
+        return f"""CASE WHEN {link} = '' OR starts_with({link}, '#') THEN {base} WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+            WHEN starts_with({link}, '//') THEN regexp_extract({base}, '(?s)^(.*?:)//', 1) || {link} WHEN starts_with({link}, '/') THEN {head(base)} || {link}
+            WHEN starts_with({link}, '?') THEN regexp_extract({base}, '(?s)^([^?#]*)', 1) || {link} ELSE {folder} || CASE WHEN {folder} = {head(base)} THEN '/' ELSE '' END || {link} END"""
+
+    plain = lambda link: f"replace(trim({link}), '&amp;', '&')"
     return f"""
-WITH RECURSIVE tags AS (SELECT url AS base, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
-parts AS (SELECT base, {attribute("rel")} AS rel, {attribute("href")} AS href, {attribute("http-equiv")} AS equiv, {attribute("content")} AS content FROM tags),
+WITH RECURSIVE shown AS (SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g') AS html FROM pages WHERE contains(url, '://')),
+tags AS (SELECT url, regexp_extract(html, '(?i)<base\\b[^>]*>') AS base_tag, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM shown),
+parts AS (SELECT url, {plain(attribute("base_tag", "href"))} AS base_href, {attribute("tag", "rel")} AS rel, {attribute("tag", "href")} AS href, {attribute("tag", "http-equiv")} AS equiv, {attribute("tag", "content")} AS content FROM tags),
 links AS (
-    SELECT base, replace(trim(CASE WHEN regexp_matches(lower(rel), '(^|\\s)canonical(\\s|$)') THEN href
-        WHEN lower(equiv) = 'refresh' THEN regexp_extract(content, '(?is)^\\s*[0-9.]+\\s*[;,]\\s*url\\s*=\\s*(.*)', 1) END), '&amp;', '&') AS link
+    SELECT url, base_href, CASE WHEN regexp_matches(lower(rel), '(^|\\s)canonical(\\s|$)') THEN href
+        WHEN lower(equiv) = 'refresh' THEN regexp_extract(content, '(?is)^\\s*[0-9.]+\\s*[;,]\\s*url\\s*=\\s*(.*)', 1) END AS link
     FROM parts
 ),
-full_links AS (
-    SELECT base, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-        WHEN starts_with(link, '//') THEN regexp_extract(base, '(?s)^(.*?:)//', 1) || link
-        WHEN starts_with(link, '/') THEN {head("base")} || link
-        WHEN starts_with(link, '?') THEN regexp_extract(base, '(?s)^([^?#]*)', 1) || link
-        ELSE regexp_extract(base, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) || CASE WHEN regexp_extract(base, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) = {head("base")} THEN '/' ELSE '' END || link END AS target
-    FROM links WHERE link <> ''
-),
-edges AS (SELECT DISTINCT {node("base")} AS u, {node("target")} AS v FROM full_links),
+bases AS (SELECT url, coalesce({absolute("url", "base_href")}, url) AS base, {plain("link")} AS link FROM links WHERE link <> ''),
+full_links AS (SELECT url, {absolute("base", "link")} AS target FROM bases),
+edges AS (SELECT DISTINCT {node("url")} AS u, {node("target")} AS v FROM full_links),
 both_ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach AS (SELECT u, u AS v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v),
 judged AS (SELECT u, v, {_sql_rule(host("v"), path("v"), rules, True)} AS verdict FROM reach),
