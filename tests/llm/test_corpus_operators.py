@@ -64,7 +64,7 @@ def test_url_filter(spark):
 def test_url_filter_sql_with_edges(spark):
     import duckdb
 
-    rows = [(1, "http://a.com/x", '<link rel="canonical" href="https://example.org/es/1">'), (2, "http://a.com/x", ""), (3, "http://q.net/a/b?c", '<meta http-equiv="refresh" content="1; url=../x">'), (4, None, None), (5, "http://q.net/?z", '<link rel="canonical" href="http://a.com/x">')]
+    rows = [(1, "http://a.com/x", '<link rel="canonical" href="https://example.org/es/1">'), (2, "http://a.com/x", ""), (3, "http://q.net/a/b?c", '<meta http-equiv="refresh" content="1; url=../x">'), (4, None, None), (5, "http://q.net/?z", '<link rel="canonical" href="http://a.com/x">'), (6, "http://b.com/u/./v/", '<base href="../w/"><!-- <link rel="canonical" href="http://x.net/"> --><link rel="canonical" href="./z/..">'), (7, "http://b.com/u/w/", '<link rel="canonical" href="http://example.org/en/1">'), (8, "http://b.com/u/x/../w/", ""), (9, "http://c.com/", '<link rel="canonical" href="javascript:x">')]
     pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
     con = duckdb.connect()
     con.register("pages", pages)
@@ -73,6 +73,71 @@ def test_url_filter_sql_with_edges(spark):
     assert sorted(str(tuple(r)) for r in got) == want
 
 
+def _tidy(path):
+    """A path without dot segments, by the standard's buffer of output."""
+    out = []
+    parts = path.split("/")[1:]
+    for k, x in enumerate(parts):
+        if x in (".", ".."):
+            if x == "..":
+                out = out[:-1]
+            if k == len(parts) - 1:
+                out.append("")
+        else:
+            out.append(x)
+    return "/" + "/".join(out) if path else ""
+
+
+def _resolve(base, to):
+    """(scheme, host, path, query) of a link on a page."""
+    from urllib.parse import urlsplit
+
+    b, t = urlsplit(base), urlsplit(to)
+    if t.scheme:
+        return t.scheme, t.netloc, t.path, t.query
+    if to.startswith("//"):
+        return b.scheme, t.netloc, t.path, t.query
+    if not t.path:
+        return b.scheme, b.netloc, b.path, t.query if "?" in to else b.query
+    return b.scheme, b.netloc, t.path if t.path.startswith("/") else (b.path.rsplit("/", 1)[0] if b.path else "") + "/" + t.path, t.query
+
+
+def _written(scheme, host, path, query):
+    return f"{scheme}://{host}".lower() + path + (f"?{query}" if query else "")
+
+
+def test_links_as_the_standard_resolves_them(spark):
+    """Edges of random links, base tags and comments against a resolution by parts."""
+    import html as H
+    from urllib.parse import urlsplit
+
+    rng = random.Random(8)
+    part = lambda: rng.choice(("a", "b.html", "..", ".", "c", "x.y", "..."))
+    path = lambda n: "/".join(part() for _ in range(rng.randrange(n)))
+    link = lambda: rng.choice((lambda: "/" + path(4), lambda: path(4), lambda: "//O.net/" + path(3), lambda: "https://Q.Net/p/" + path(3), lambda: ""))() + rng.choice(("", "?z=1&y", "#f"))
+    rows, want = [], set()
+    for i in range(400):
+        url, to, base = rng.choice((f"http://h{i}.com/{path(3)}", f"http://h{i}.com")), link(), rng.choice((None, None, "/base/dir/", "sub/", "http://k.net/z/y"))
+        tag = rng.choice((f'<link rel="canonical" href="{H.escape(to)}">', f'<meta http-equiv="refresh" content="3; url={H.escape(to)}">'))
+        shown = rng.random() < 0.9
+        rows.append((i, url, ('<!-- <base href="http://wrong.net/"> -->' if i % 3 == 0 else "") + (f'<base target="x" href="{base}">' if base else "") + (tag if shown else f"<!-- {tag} -->")))
+        if to and shown:
+            full = _resolve("{}://{}{}".format(*_resolve(url, base)) if base else url, to)
+            first, second = urlsplit(url), full
+            u, v = _written(first.scheme, first.netloc, _tidy(first.path), first.query), _written(*second[:2], _tidy(second[2]), second[3])
+            if u != v:
+                want.add((u, v))
+    edges = {tuple(r) for r in urlfilter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert edges - want == set() and want - edges == set() and len(want) > 250
+
+
+def test_links_that_lead_nowhere(spark):
+    rows = [(1, "http://a.com/", '<link rel=canonical href="mailto:x@y.z">'), (2, "nope", '<link rel=canonical href="/x">'), (3, None, '<link rel=canonical href="http://a.com/">'), (4, "http://a.com/" + "x/../" * 3000, "<!--" + "y" * 200_000 + '<link rel=canonical href="/q">')]
+    rows += [(5, "http://long.com/" + "x/../" * 500 + "end", "z" * 300_000 + '<link rel="canonical" href="' + "./" * 800 + 'to">')]
+    edges = urlfilter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [tuple(r) for r in edges] == [("http://long.com/end", "http://long.com/to")]
+
+
 def test_line_dedup(docs_of):
     rows = [(i, f"Header line\n  body {i} text  \n\nfoot{i % 2}", "en", "big") for i in range(40)]
     rows += [(100 + i, "same words everywhere", "en", "copies") for i in range(30)]
