@@ -20,10 +20,10 @@ def fractional_power(m: np.ndarray, power: float, tol: float = 0.0) -> np.ndarra
     if not is_symmetric(m, 1e-6):
         raise ValueError("not symmetric")
     values, vectors = np.linalg.eigh((m + m.T) / 2 + tol * np.eye(len(m)))
-    with np.errstate(divide="ignore"):
-        out = (vectors * np.abs(values) ** power) @ vectors.T
-    if not np.isfinite(out).all():
+    sizes = np.abs(values)
+    if power < 0 and not (sizes.min(initial=1.0) > 0 and np.isfinite(sizes.min(initial=1.0) ** power)):
         raise ValueError("singular: raise the tolerance")
+    out = (vectors * sizes**power) @ vectors.T
     return (out + out.T) / 2
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1e-20
 
 
+def let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result(value), with value worked out once: what stands in a lambda function is else worked out for every element."""
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -33,7 +40,7 @@ def scale(v: Column, by: Column | float) -> Column:
 
 
 def divide(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x / by)
+    return let(by, lambda n: F.transform(v, lambda x: x / n))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -46,13 +53,12 @@ def subtract(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Epsilon is added to every element first, so a zero vector becomes a uniform one."""
-    lifted = shift(v, EPSILON)
-    return divide(lifted, norm(lifted))
+    return let(shift(v, EPSILON), lambda lifted: divide(lifted, norm(lifted)))
 
 
 def damped_unit(v: Column) -> Column:
     """Divided by length plus epsilon: a zero vector stays zero."""
-    return divide(v, norm(v) + EPSILON)
+    return let(v, lambda x: divide(x, norm(x) + EPSILON))
 
 
 def argmax(v: Column) -> Column:

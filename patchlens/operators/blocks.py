@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 
 def row_pointers(matrix: DataFrame, n_rows: int) -> DataFrame:
-    """(row, start, nnz) of all rows, empty ones too: counts, then a running sum over rows (not over elements)."""
+    """(row, start, nnz) of all rows, empty ones too: counts, then a running sum over rows (not over elements). One task adds up n_rows^(1/3) totals."""
     counts = matrix.groupBy("row").agg(F.count("*").alias("nnz"))
     every = matrix.sparkSession.range(n_rows).select(F.col("id").alias("row")).join(counts, "row", "left").select("row", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"))
-    # rows in blocks: a sum within each block, and one over the blocks' totals
-    block = every.withColumn("b", F.floor(F.col("row") / 4096))
-    totals = block.groupBy("b").agg(F.sum("nnz").alias("t"))
-    before = totals.select("b", (F.sum("t").over(Window.orderBy("b")) - F.col("t")).alias("base"))
-    start = F.sum("nnz").over(Window.partitionBy("b").orderBy("row")) - F.col("nnz")
-    return block.withColumn("s", start).join(F.broadcast(before), "b").select("row", (F.col("base") + F.col("s")).alias("start"), "nnz")
+    # blocks of blocks, so that no task has more than about the cube root of the rows: sums within, then before
+    side = max(64, round(n_rows ** (1 / 3)) + 1)
+    block = every.withColumn("b", F.floor(F.col("row") / side)).withColumn("s", F.sum("nnz").over(Window.partitionBy("b").orderBy("row")) - F.col("nnz"))
+    totals = block.groupBy("b").agg(F.sum("nnz").alias("t")).withColumn("bb", F.floor(F.col("b") / side))
+    inner = totals.withColumn("p", F.sum("t").over(Window.partitionBy("bb").orderBy("b")) - F.col("t"))
+    outer = totals.groupBy("bb").agg(F.sum("t").alias("tt"))
+    outer = outer.select("bb", (F.sum("tt").over(Window.orderBy("bb")) - F.col("tt")).alias("pp"))
+    before = inner.join(outer, "bb").select("b", (F.col("p") + F.col("pp")).alias("base"))
+    return block.join(before, "b").select("row", (F.col("base") + F.col("s")).alias("start"), "nnz")
 
 
 def row_slice(matrix: DataFrame, start: int, end: int) -> DataFrame:

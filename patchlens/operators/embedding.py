@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg as L
 from ..functions import vectors as V
+from .codes import MAX_NUMBERS
 
 
 def solve(second_moment: np.ndarray, inner: np.ndarray, embed_dim: int, skip: int, tol: float = 1e-15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -24,6 +25,8 @@ def project(codes: DataFrame, projection: np.ndarray, normalised: bool = True) -
 
     The projection (E x K numbers) goes with the task; an Arrow batch is one sparse product, and patches keep their rows.
     """
+    if projection.size > MAX_NUMBERS:
+        raise ValueError("the projection is too large to broadcast: see project_by_join")
     shared = codes.sparkSession.sparkContext.broadcast(np.ascontiguousarray(projection.T))
     names = [c for c in codes.columns if c != "atoms"]
     slim = codes.select(*names, "atoms")

@@ -7,18 +7,20 @@ best k over the blocks (its limit a query is applied before the shuffle). Neithe
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
 BLOCK = 4096
+#: Each query has a row a class when classes are ranked.
+MAX_CLASSES = 10_000
 NEIGHBOURS = "query_id long, query_label int, neighbour_id long, label int, sim double"
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, float) for v in rows])
+def _unit(rows: pa.Table) -> np.ndarray:
+    x = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -26,8 +28,9 @@ def _dealt(train: DataFrame, test: DataFrame, id_col: str, vec_col: str):
     """(queries, training rows) with the keys of the block pair (t, q) that they go to."""
     slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col("label").cast("int").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     train, test = slim(train), slim(test)
+    sizes = dict(train.select(F.lit(0).alias("of")).union(test.select(F.lit(1).alias("of"))).groupBy("of").count().collect())
     # at least a few blocks, so that small inputs use more than one core
-    n, m = max(4, -(-train.count() // BLOCK)), max(1, -(-test.count() // BLOCK))
+    n, m = max(4, -(-sizes.get(0, 0) // BLOCK)), max(1, -(-sizes.get(1, 0) // BLOCK))
     deal = lambda c: F.pmod(F.xxhash64("id"), F.lit(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     return test.select(every(n).alias("t"), deal(m).alias("q"), "*"), train.select(deal(n).alias("t"), every(m).alias("q"), "*")
@@ -36,16 +39,13 @@ def _dealt(train: DataFrame, test: DataFrame, id_col: str, vec_col: str):
 def _tiles(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, floor) -> DataFrame:
     """Pairs of every block pair whose cosine is at least floor(cosines), a number a query."""
 
-    def tile(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(t):
-            return pd.DataFrame({"query_id": [], "query_label": [], "neighbour_id": [], "label": [], "sim": []})
-        sims = _unit(q["vec"]) @ _unit(t["vec"]).T
-        rows, cols = np.nonzero(sims >= floor(sims))
-        of = lambda df, c, at: df[c].to_numpy()[at]
-        return pd.DataFrame({"query_id": of(q, "id", rows), "query_label": of(q, "label", rows), "neighbour_id": of(t, "id", cols), "label": of(t, "label", cols), "sim": sims[rows, cols]})
+    def tile(q: pa.Table, t: pa.Table) -> pa.Table:
+        sims = _unit(q) @ _unit(t).T if q.num_rows and t.num_rows else np.zeros((0, 0))
+        rows, cols = np.nonzero(sims >= floor(sims)) if sims.size else (np.zeros(0, int), np.zeros(0, int))
+        return pa.table({"query_id": q["id"].take(rows), "query_label": q["label"].take(rows), "neighbour_id": t["id"].take(cols), "label": t["label"].take(cols), "sim": sims[rows, cols]})
 
     left, right = _dealt(train, test, id_col, vec_col)
-    return left.groupBy("t", "q").cogroup(right.groupBy("t", "q")).applyInPandas(tile, NEIGHBOURS)
+    return left.groupBy("t", "q").cogroup(right.groupBy("t", "q")).applyInArrow(tile, NEIGHBOURS)
 
 
 def similar_pairs(train: DataFrame, test: DataFrame, threshold: float, id_col: str = "image_id", vec_col: str = "vec") -> DataFrame:
@@ -80,7 +80,10 @@ def votes(neighbours: DataFrame, temperature: float) -> DataFrame:
 
 def ranked(vote: DataFrame, classes: DataFrame) -> DataFrame:
     """Every class of ``classes(label)`` a query by weight, ties to the smaller label; classes without a vote weigh 0."""
-    every = vote.select("query_id", "query_label").distinct().crossJoin(F.broadcast(classes.select("label").distinct()))
+    labels = [r[0] for r in classes.select("label").distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    every = vote.select("query_id", "query_label").distinct().withColumn("label", F.explode(F.array(*[F.lit(x).cast("int") for x in labels]) if labels else F.array().cast("array<int>")))
     full = every.join(vote, ["query_id", "query_label", "label"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "label")))
 

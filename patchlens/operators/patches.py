@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .codes import MAX_NUMBERS
 from ..sources.images import Shape
 
 
@@ -74,6 +75,8 @@ def whiten(patches: DataFrame, w) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    if np.size(w) > MAX_NUMBERS:
+        raise ValueError("the whitening matrix is too large to broadcast")
     shared, names = patches.sparkSession.sparkContext.broadcast(np.asarray(w, float)), patches.columns
 
     def run(batches):

@@ -39,7 +39,8 @@ class Model:
         return patches.grid_size(self.shape, self.config.patch_sz)
 
     def patch_vectors(self, images: DataFrame) -> DataFrame:
-        return prepared(images, self.config, self.shape, self.whitening)
+        grey = I.as_configured(images, self.config.dataset, self.config.grayscale_only)
+        return prepared(grey, self.config, self.shape, self.whitening)
 
     def codes(self, images: DataFrame, test: bool = False) -> DataFrame:
         return C.sparse_codes(self.patch_vectors(images), self.dictionary, self.config.gq_thresh, forced=test or self.config.zero_code_disable)
@@ -54,8 +55,10 @@ class Model:
         return pooling.flatten_windows(pooled, pooling.windows(self.grid, c.pool_size, c.pool_stride))
 
     def evaluate(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        """top1, top5, total of the vote of train's (augmented) embeddings on test's."""
-        return knn.classify(self.transform(I.augment(train, self.shape)), self.transform(test, test=True), self.config.nnclass_k, self.config.knn_temp)
+        """top1, top5, total of the vote of train's (augmented) embeddings on test's, of as many samples as configured."""
+        c = self.config
+        train, test = (I.as_configured(I.first_samples(x, n), c.dataset, c.grayscale_only) for x, n in ((train, c.samples), (test, c.test_samples)))
+        return knn.classify(self.transform(I.augment(train, self.shape)), self.transform(test, test=True), c.nnclass_k, c.knn_temp)
 
     def save(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
         """A Parquet table of named rows, written by Spark, so any store that it reaches will do."""
@@ -85,9 +88,9 @@ def whitening_of(images: DataFrame, config: Config, shape: I.Shape) -> np.ndarra
 
 
 def fit(train: DataFrame, config: Config) -> Model:
-    """A model of training images (without their mirror images, which are added here)."""
+    """A model of the configured number of training images (without their mirror images, which are added here)."""
     shape = I.shape_of(config.dataset, config.grayscale_only)
-    both = I.augment(train, shape)
+    both = I.augment(I.as_configured(I.first_samples(train, config.samples), config.dataset, config.grayscale_only), shape)
     whitening = whitening_of(both, config, shape)
     vectors = prepared(both, config, shape, whitening)
     atoms = dictionary.matrix_of(dictionary.greedy(vectors, config.dict_sz, config.dict_thresh, config.seed))

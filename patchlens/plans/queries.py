@@ -1,8 +1,7 @@
 """Queries over the fixture, one a operator, and the SQL that checks them.
 
-Stages that follow whitening take patches without it where SQL checks them, since an eigen-decomposition is beyond SQL; the
-others (see ``queries`` without a counterpart in ``oracle_sql``) are held to invariants by the tests. Floating results are
-rounded: to 6 digits, votes as logarithms.
+Most stages that follow whitening take patches without it, so that each is checked for itself; the last ones are a whole fit.
+Floating results are rounded: to 6 digits, votes as logarithms.
 """
 
 from __future__ import annotations
@@ -309,11 +308,11 @@ def stack_columns(spark, sf_dir):
     return blocks.stack_columns(b, 60)
 
 
-# --- beyond SQL --------------------------------------------------------------------------------------------------
+# --- a whole fit -------------------------------------------------------------------------------------------------
 
 
 def _matrix_frame(spark, m, names=("i", "j", "v")):
-    rows = [(int(i), int(j), float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])]
+    rows = [(int(i), int(j), round(float(m[i, j]), 6) + 0.0) for i in range(m.shape[0]) for j in range(m.shape[1])]
     return spark.createDataFrame(rows, f"{names[0]} int, {names[1]} int, {names[2]} double")
 
 
@@ -323,7 +322,7 @@ def whitening_matrix(spark, sf_dir):
 
 def whiten_apply(spark, sf_dir):
     both = augmented(spark, sf_dir)
-    return pipeline.prepared(both, FIX, SHAPE, pipeline.whitening_of(both, FIX, SHAPE)).select("patch_id", "vec")
+    return pipeline.prepared(both, FIX, SHAPE, pipeline.whitening_of(both, FIX, SHAPE)).select("patch_id", _round_all("vec").alias("vec"))
 
 
 def inverse_sqrt_second_moment(spark, sf_dir):
@@ -336,12 +335,12 @@ def embedding_matrix(spark, sf_dir):
 
 def patch_embedding(spark, sf_dir):
     train = images(spark, sf_dir, "train")
-    return pipeline.fit(train, FIX).patch_embedding(I.augment(train, SHAPE)).select("patch_id", "beta")
+    return pipeline.fit(train, FIX).patch_embedding(I.augment(train, SHAPE)).select("patch_id", _round_all("beta").alias("beta"))
 
 
 def image_embedding(spark, sf_dir):
     train = images(spark, sf_dir, "train")
-    return pipeline.fit(train, FIX).transform(images(spark, sf_dir, "test"), test=True)
+    return pipeline.fit(train, FIX).transform(images(spark, sf_dir, "test"), test=True).select("image_id", "label", _round_all("vec").alias("vec"))
 
 
 def pipeline_accuracy(spark, sf_dir):

@@ -54,11 +54,25 @@ def with_steps(select: str) -> str:
         new = {n for n in STEPS if n not in found and re.search(rf"\b{n}\b", text)}
         found |= new
         todo += [STEPS[n] for n in new]
-    steps = ", ".join(f"{n} AS MATERIALIZED ({s})" for n, s in STEPS.items() if n in found)
-    return f"WITH {steps} {select}" if steps else select
+    # a step that reads itself is recursive; each step comes after those it reads
+    order: list[str] = []
 
+    def put(n: str) -> None:
+        for other in STEPS:
+            if other != n and other in found and other not in order and re.search(rf"\b{other}\b", STEPS[n]):
+                put(other)
+        if n not in order:
+            order.append(n)
 
-def _loss(optim: str, near: str) -> str:
+    for n in STEPS:
+        if n in found:
+            put(n)
+    recursive = {n for n in order if re.search(rf"\b{n}\b", STEPS[n])}
+    steps = ", ".join(f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({STEPS[n]})" for n in order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{steps} {select}" if steps else select
+
+
+def _loss(optim: str, near: str, value: str = "round(sum(a.v * b.v), 4) + 0.0") -> str:
     """Pairs of y's elements, from the difference vectors themselves."""
     if optim == "two":
         rows = f"""
@@ -77,7 +91,7 @@ def _loss(optim: str, near: str) -> str:
                     UNION ALL SELECT n.patch_id * 1000000000 + n.other, c.atom, -1.0::DOUBLE FROM {near} n JOIN codes c ON c.patch_id = n.other WHERE n.patch_id < n.other
                 ) GROUP BY ALL HAVING sum(v) <> 0
             )"""
-    return f"SELECT * FROM ({rows} SELECT a.atom AS i, b.atom AS j, round(sum(a.v * b.v), 4) + 0.0 AS v FROM y a JOIN y b ON a.p = b.p AND a.atom <= b.atom GROUP BY ALL) WHERE v <> 0"
+    return f"SELECT * FROM ({rows} SELECT a.atom AS i, b.atom AS j, {value} AS v FROM y a JOIN y b ON a.p = b.p AND a.atom <= b.atom GROUP BY ALL) WHERE v <> 0"
 
 
 GREEDY = f"""
@@ -152,6 +166,131 @@ FORCED = {
 }
 
 
+# --- matrices as lists, row by row ---------------------------------------------------------------------------------
+
+
+def product(a: str, b: str, n: int) -> str:
+    """a b of n x n matrices."""
+    return f"list_transform(range(0, {n * n}), lambda k: list_sum(list_transform(range(0, {n}), lambda m: {a}[k // {n} * {n} + m + 1] * {b}[m * {n} + k % {n} + 1])))"
+
+
+def inverse_root(name: str, source: str, n: int, rounds: int = 40) -> dict[str, str]:
+    """Steps up to name(a): the inverse square root of the symmetric matrix of source(a), by coupled Newton-Schulz iteration."""
+    one = f"list_transform(range(0, {n * n}), lambda k: CASE WHEN k // {n} = k % {n} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    size = f"list_sum(list_transform(range(0, {n}), lambda k: a[k * {n + 1} + 1]))"
+    step = f"SELECT k + 1 AS k, y, z, list_transform({product('z', 'y', n)}, lambda x, k: (CASE WHEN (k - 1) // {n} = (k - 1) % {n} THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END - x) / 2) AS t FROM {name}_steps WHERE k < {rounds}"
+    return {
+        f"{name}_steps": f"SELECT 0 AS k, list_transform(a, lambda x: x / {size}) AS y, {one} AS z FROM {source} UNION ALL SELECT k, {product('y', 't', n)}, {product('t', 'z', n)} FROM ({step})",
+        name: f"SELECT list_transform(z, lambda x: x / sqrt({size})) AS a FROM {name}_steps, {source} WHERE k = {rounds}",
+    }
+
+
+def eigenvectors(name: str, source: str, n: int, sweeps: int = 12) -> dict[str, str]:
+    """Steps up to name(i, value, vec): eigenvalues and vectors of the symmetric matrix of source(a), by Jacobi rotations of n / 2 disjoint pairs at a time."""
+    m = n - 1  # pairs of round k: the last index meets k, and p meets 2 k - p modulo the others
+    at = lambda i, j: f"a[({i}) * {n} + ({j}) + 1]"
+    partner = f"list_transform(range(0, {n}), lambda p: CASE WHEN p = {m} THEN k % {m} WHEN p = k % {m} THEN {m} ELSE (2 * k - p) % {m} + CASE WHEN (2 * k - p) % {m} < 0 THEN {m} ELSE 0 END END)"
+    low, high = "least(p, q[p + 1])", "greatest(p, q[p + 1])"
+    theta = f"(({at(high, high)} - {at(low, low)}) / (2 * {at(low, high)}))"
+    tangent = f"CASE WHEN abs({at(low, high)}) < 1e-300 THEN 0.0::DOUBLE ELSE (CASE WHEN {theta} >= 0 THEN 1 ELSE -1 END) / (abs({theta}) + sqrt({theta} * {theta} + 1)) END"
+    rows = lambda x: f"list_transform(range(0, {n * n}), lambda e: c[e // {n} + 1] * {x}[e + 1] + s[e // {n} + 1] * {x}[q[e // {n} + 1] * {n} + e % {n} + 1])"
+    columns = f"list_transform(range(0, {n * n}), lambda e: c[e % {n} + 1] * b[e + 1] + s[e % {n} + 1] * b[e // {n} * {n} + q[e % {n} + 1] + 1])"
+    one = f"list_transform(range(0, {n * n}), lambda k: CASE WHEN k // {n} = k % {n} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    return {
+        f"{name}_steps": f"""SELECT 0 AS k, a, {one} AS u FROM {source}
+            UNION ALL SELECT k + 1, {columns}, u FROM (SELECT k, q, c, s, {rows('a')} AS b, {rows('u')} AS u FROM (
+                SELECT k, a, u, q, list_transform(t, lambda x: 1 / sqrt(x * x + 1)) AS c, list_transform(t, lambda x, i: CASE WHEN i - 1 < q[i] THEN -1 ELSE 1 END * x / sqrt(x * x + 1)) AS s FROM (
+                    SELECT k, a, u, q, list_transform(range(0, {n}), lambda p: {tangent}) AS t FROM (SELECT k, a, u, {partner} AS q FROM {name}_steps WHERE k < {sweeps * m}))))""",
+        name: f"SELECT i, a[i * {n + 1} + 1] AS value, u[i * {n} + 1 : i * {n} + {n}] AS vec FROM {name}_steps, range(0, {n}) x(i) WHERE k = {sweeps * m}",
+    }
+
+
+def whole_chain(p: str, centred: str, optim: str, near: str) -> dict[str, str]:
+    """Steps of a whole fit, their names behind p: whitening, greedy dictionary, codes, moments, eigenvectors, embeddings, votes."""
+    own = lambda text: re.sub(r"\b(units|dict|cosines|codes|live|coact|near1|near8|sims|top|votes|ranked)\b", rf"{p}\1", text)
+    e, skip = FIX.embed_dim, FIX.skip
+    steps = {
+        f"{p}cov": f"SELECT list(v ORDER BY i, j) AS a FROM (SELECT i, j, covar_samp(vec[i + 1], vec[j + 1]) + CASE WHEN i = j THEN {FIX.whiten_tol}::DOUBLE ELSE 0 END AS v FROM {centred}, range(0, {DIM}) a(i), range(0, {DIM}) b(j) GROUP BY i, j)",
+        **inverse_root(f"{p}whitening", f"{p}cov", DIM),
+    }
+
+    def vectors(name: str, source: str) -> dict[str, str]:
+        turned = f"list_transform(range(0, {DIM}), lambda i: list_sum(list_transform(range(0, {DIM}), lambda k: a[i * {DIM} + k + 1] * vec[k + 1])) + 1e-20)"
+        return {
+            f"{name}lifted": f"SELECT patch_id, image_id, label, r, c, {turned} AS vec FROM {source}, {p}whitening",
+            f"{name}units": f"SELECT patch_id, image_id, label, r, c, list_transform(vec, lambda x: x / n) AS vec FROM (SELECT *, sqrt({dot('vec', 'vec')}) AS n FROM {name}lifted)",
+        }
+
+    steps |= vectors(p, centred)
+    order = f"md5('{FIX.seed}-' || patch_id), patch_id"
+    steps |= {
+        f"{p}queue": f"SELECT row_number() OVER (ORDER BY {order}) AS k, patch_id, vec FROM {p}units",
+        f"{p}greedy": f"""SELECT 0::BIGINT AS k, []::BIGINT[] AS ids, []::DOUBLE[][] AS kept UNION ALL
+            SELECT k, CASE WHEN ok THEN list_append(ids, patch_id) ELSE ids END, CASE WHEN ok THEN list_append(kept, vec) ELSE kept END
+            FROM (SELECT o.*, g.ids, g.kept, len(list_filter(g.kept, lambda w: list_inner_product(w, o.vec) > {FIX.dict_thresh})) = 0 AS ok FROM {p}greedy g JOIN {p}queue o ON o.k = g.k + 1 WHERE len(g.ids) < {K})""",
+        f"{p}dict": f"SELECT CAST(unnest(range(0, {K})) AS INTEGER) AS atom, unnest(ids) AS src_patch_id, unnest(kept) AS vec FROM {p}greedy WHERE len(ids) = {K}",
+        **{f"{p}{name}": own(STEPS[name]) for name in ("cosines", "codes", "live", "coact", near)},
+        f"{p}moment": f"SELECT list(coalesce(n, 0) / total + CASE WHEN i = j THEN {FIX.cov_tol}::DOUBLE ELSE 0 END ORDER BY i, j) AS a FROM (SELECT a.i, b.j, x.n FROM range(0, {K}) a(i) CROSS JOIN range(0, {K}) b(j) LEFT JOIN {p}coact x ON x.i = least(a.i, b.j) AND x.j = greatest(a.i, b.j)), (SELECT count(*) AS total FROM {p}units)",
+        **inverse_root(f"{p}root", f"{p}moment", K),
+        f"{p}pairs": own(_loss(optim, near, "sum(a.v * b.v)")),
+        f"{p}loss": f"SELECT list(coalesce(v, 0) ORDER BY i, j) AS a FROM (SELECT a.i, b.j, x.v FROM range(0, {K}) a(i) CROSS JOIN range(0, {K}) b(j) LEFT JOIN {p}pairs x ON x.i = least(a.i, b.j) AND x.j = greatest(a.i, b.j))",
+        f"{p}half": f"SELECT {product('r.a', 'l.a', K)} AS a FROM {p}root r, {p}loss l",
+        f"{p}product": f"SELECT {product('h.a', 'r.a', K)} AS a FROM {p}half h, {p}root r",
+        f"{p}closed": f"SELECT list_transform(range(0, {K * K}), lambda k: (a[k + 1] + a[k % {K} * {K} + k // {K} + 1]) / 2) AS a FROM {p}product",
+        **eigenvectors(f"{p}eigen", f"{p}closed", K),
+        f"{p}chosen": f"SELECT o - {skip} - 1 AS e, CASE WHEN list_max(vec) >= -list_min(vec) THEN vec ELSE list_transform(vec, lambda x: -x) END AS vec FROM (SELECT *, row_number() OVER (ORDER BY abs(value), i) AS o FROM {p}eigen) WHERE o > {skip} AND o <= {skip + e}",
+        f"{p}proj": f"SELECT CAST(e AS INTEGER) AS e, CAST(k AS INTEGER) AS atom, list_sum(list_transform(range(0, {K}), lambda m: vec[m + 1] * a[m * {K} + k + 1])) AS v FROM {p}chosen, {p}root, range(0, {K}) x(k)",
+        f"{p}beta": f"SELECT patch_id, list(coalesce(s, 0) ORDER BY e) AS beta FROM (SELECT u.patch_id, x.e, sum(p.v) AS s FROM {p}units u CROSS JOIN range(0, {e}) x(e) LEFT JOIN {p}codes c ON c.patch_id = u.patch_id LEFT JOIN {p}proj p ON p.atom = c.atom AND p.e = x.e GROUP BY ALL) GROUP BY patch_id",
+    }
+    # test images: no mirror images, the most similar atom always on
+    grid = f"SELECT (image_id * {P} + r) * {P} + c AS patch_id, image_id, label, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, list_transform(range(0, {DIM}), lambda k: pixels[(r + k // 3) * 8 + c + k % 3 + 1]) AS vec FROM images, range(0, {P}) a(r), range(0, {P}) b(c) WHERE split = 'test'"
+    steps |= {f"{p}t_patches": grid, f"{p}t_centred": _centred(f"{p}t_patches", 8 if near == "near8" else 1), **vectors(f"{p}t_", f"{p}t_centred")}
+    steps |= {
+        f"{p}t_sims": f"SELECT u.patch_id, atom, {dot('u.vec', 'd.vec')} AS sim FROM {p}t_units u, {p}dict d",
+        f"{p}t_codes": f"SELECT patch_id, atom FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY sim DESC, atom) AS k FROM {p}t_sims) WHERE sim >= {FIX.gq_thresh} OR k = 1",
+        f"{p}t_beta": f"SELECT patch_id, list(coalesce(s, 0) ORDER BY e) AS beta FROM (SELECT u.patch_id, x.e, sum(p.v) AS s FROM {p}t_units u CROSS JOIN range(0, {e}) x(e) LEFT JOIN {p}t_codes c ON c.patch_id = u.patch_id LEFT JOIN {p}proj p ON p.atom = c.atom AND p.e = x.e GROUP BY ALL) GROUP BY patch_id",
+    }
+    for part in ("", "t_"):
+        unit = lambda source: f"SELECT * EXCLUDE (beta, n), list_transform(beta, lambda x: x / n) AS beta FROM (SELECT *, sqrt({dot('beta', 'beta')}) + 1e-20 AS n FROM {source})"
+        steps |= {
+            f"{p}{part}embedded": unit(f"{p}{part}beta"),
+            f"{p}{part}pooled": f"SELECT image_id, label, wr, wc, list_transform(range(0, {e}), lambda k: list_sum(list_transform(v, lambda x: x[k + 1])) / 16) AS beta FROM (SELECT image_id, label, wr, wc, list(beta) AS v FROM {p}{part}embedded JOIN {p}{part}units USING (patch_id), range(0, 2) a(wr), range(0, 2) b(wc) WHERE r BETWEEN wr * 2 AND wr * 2 + 3 AND c BETWEEN wc * 2 AND wc * 2 + 3 GROUP BY ALL)",
+            f"{p}{part}windows": unit(f"{p}{part}pooled"),
+            f"{p}{part}images": f"SELECT image_id, label, list_transform(range(0, {e * 4}), lambda k: w[k % 4 + 1][k // 4 + 1]) AS vec FROM (SELECT image_id, label, list(beta ORDER BY wr, wc) AS w FROM {p}{part}windows GROUP BY ALL)",
+            f"{p}{part}raw": f"SELECT image_id, label, list_transform(vec, lambda x: x / n) AS u FROM (SELECT *, sqrt({dot('vec', 'vec')}) AS n FROM {p}{part}images)",
+        }
+    steps |= {
+        f"{p}sims": f"SELECT q.image_id AS query_id, q.label AS query_label, t.image_id AS neighbour_id, t.label, {dot('q.u', 't.u')} AS sim FROM {p}t_raw q, {p}raw t",
+        **{f"{p}{name}": own(STEPS[name]) for name in ("top", "votes", "ranked")},
+    }
+    return steps
+
+
+def _centred(patches: str, radius: int) -> str:
+    near = f"abs(a.r - b.r) <= {radius} AND abs(a.c - b.c) <= {radius}"
+    means = f"SELECT a.patch_id, sum(list_sum(b.vec)) / (count(*) * {DIM}) AS mu FROM {patches} a JOIN {patches} b ON a.image_id = b.image_id AND {near} GROUP BY a.patch_id"
+    return f"SELECT patch_id, image_id, label, r, c, list_transform(vec, lambda x: x - mu) AS vec FROM {patches} JOIN ({means}) USING (patch_id)"
+
+
+STEPS |= {"y_centred": _centred("patches", 1)} | whole_chain("y_", "y_centred", "one", "near1")
+STEPS |= {"z_centred": _centred("patches", 8)} | whole_chain("z_", "z_centred", "two", "near8")
+
+_ACCURACY = "SELECT 100.0::DOUBLE * count(*) FILTER (WHERE rank = 1) / (SELECT count(*) FROM images WHERE split = 'test') AS top1, 100.0::DOUBLE * count(*) FILTER (WHERE rank <= least(5, 30, (SELECT count(DISTINCT label) FROM images WHERE split = 'test'))) / (SELECT count(*) FROM images WHERE split = 'test') AS top5, (SELECT count(*) FROM images WHERE split = 'test') AS total FROM ranked WHERE label = query_label"
+_MATRIX = "SELECT CAST(k // {n} AS INTEGER) AS i, CAST(k % {n} AS INTEGER) AS j, round(a[k + 1], 6) + 0.0 AS v FROM {name}, range(0, {n} * {n}) x(k)"
+STEPS |= inverse_root("root_of_codes", "moment_of_codes", K)
+STEPS["moment_of_codes"] = f"SELECT list(coalesce(n, 0) / total + CASE WHEN i = j THEN {FIX.cov_tol}::DOUBLE ELSE 0 END ORDER BY i, j) AS a FROM (SELECT a.i, b.j, x.n FROM range(0, {K}) a(i) CROSS JOIN range(0, {K}) b(j) LEFT JOIN coact x ON x.i = least(a.i, b.j) AND x.j = greatest(a.i, b.j)), (SELECT count(*) AS total FROM units)"
+SELECTS |= {
+    "whitening_matrix": _MATRIX.format(n=DIM, name="z_whitening"),
+    "whiten_apply": f"SELECT patch_id, {rounded('vec')} AS vec FROM z_units",
+    "inverse_sqrt_second_moment": _MATRIX.format(n=K, name="root_of_codes"),
+    "embedding_matrix": "SELECT e, atom, round(v, 6) + 0.0 AS v FROM z_proj",
+    "patch_embedding": f"SELECT patch_id, {rounded('beta')} AS beta FROM z_embedded",
+    "image_embedding": f"SELECT image_id, label, {rounded('vec')} AS vec FROM z_t_images",
+    "pipeline_accuracy": _ACCURACY.replace("ranked", "z_ranked"),
+    "pipeline_accuracy_one": _ACCURACY.replace("ranked", "y_ranked"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: with_steps(select) for name, select in SELECTS.items()}
     base = with_steps("SELECT * FROM dict, images").removesuffix("SELECT * FROM dict, images").rstrip()
