@@ -1,8 +1,9 @@
 """Greedy dictionary: patches in a pseudo-random order, kept if no kept one has a cosine above the threshold.
 
-The order is by a hash of seed and patch id, so it is the same for any partitioning. Candidates come to the driver in batches
-of a fixed size, smallest hashes first (a top-k, not a sort of the table); admission only depends on earlier admissions, so
-batches give what one by one would.
+The order is by a hash of seed and patch id, so it is the same for any partitioning. Candidates come to the driver in batches,
+smallest hashes first (a top-k, not a sort of the table); admission only depends on earlier admissions, so batches give what
+one by one would. Each batch is a pass over the patches and twice as large as the one before (up to ``MOST`` numbers), so
+passes are few.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 4000
+#: Numbers that one batch brings to the driver at most.
+MOST = 1 << 24
 
 
 def random_order(seed: int, id_col: str = "patch_id") -> Column:
@@ -47,6 +50,7 @@ def greedy(patches: DataFrame, size: int, threshold: float, seed: int, id_col: s
                 if len(kept_ids) == size:
                     break
         after = (batch[-1]["o"], batch[-1]["src_patch_id"])
+        n = max(n, min(2 * n, MOST // kept.shape[1]))
     return patches.sparkSession.createDataFrame([(k, i, kept[k].tolist()) for k, i in enumerate(kept_ids)], "atom int, src_patch_id long, vec array<double>")
 
 
