@@ -207,7 +207,7 @@ def lattice(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], lis
         if not begins[i] or not (text[a].isalnum() or text[a] in "+("):
             continue
         # the last word before the stretch, unless other words end a sentence between
-        names = re.findall(r"[^\W\d]+", text[max(0, a - 32) : a].lower())
+        names = re.findall(r"[^\W\d_]+", text[max(0, a - 32) : a].lower())
         cue = CUE_OF.get(names[-1], "none") if names else "none"
         if cue == "none" and len(names) > 1 and text[a - 1] in "=:\"' ":
             cue = CUE_OF.get(names[-2] + names[-1], "none")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,25 @@ def test_near_duplicates(docs_of, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(rows)).collect()} == _classes(rows)
 
 
+def test_near_duplicates_of_a_fixture(spark):
+    """Classes of the smallest fixture against all pairs of its texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.where("text is not null").collect()]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert {i: got[i] for i, _ in rows} == _classes(rows) and len(set(got.values())) < len(got)
+
+
+def test_many_different_nodes_of_one_bucket(spark):
+    """Tiles of a bucket whose nodes are all different hand on nobody: no text travels."""
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 256, (700, minhash.REGISTERS)).astype(np.uint8)
+    sig[:, : minhash.ROWS] = 7  # all share the first band
+    sig[5] = sig[600]
+    rows = pa.table({"key": [1] * 700, "i": [0] * 700, "j": [0] * 700, "side": [2] * 700, "band": [0] * 700, "node": [str(k) for k in range(700)], "class": list(range(700)), "sig": [x.tobytes() for x in sig]})
+    found = pa.Table.from_batches(minhash._busy_rows(rows.to_batches(max_chunksize=90)))
+    assert sorted(found["node"].to_pylist()) == ["5", "600"]
+
+
 def test_near_duplicates_without_broadcast(docs_of, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_NODES", -1)
     rows = _near(5, 15)
@@ -407,6 +427,13 @@ def test_nearest_is_exact(spark):
     assert ann.nearest(df, empty).count() == 0 and ann.nearest(empty, empty).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    """Rows that are equal as a whole are candidates each, up to what a query can return."""
+    rows = [(7, [1.0, 2.0])] * 50 + [(20, [2.0, 1.0]), (8, [1.0, 2.0]), (9, [5.0, 5.0])]
+    got = ann.nearest(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>"), df.where("vec_id = 20"), 20).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(9, 15.0)] + [(7, 4.0)] * 19
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(50, 64)), rng.standard_cauchy(size=(60, 64))
@@ -425,6 +452,55 @@ def test_quality_held_out(spark):
     assert quality.train(docs, labels) == quality.train(docs.repartition(3), labels.repartition(5))
 
 
+def _statistics(text):
+    """The classifier's statistics, one by one."""
+    import re
+
+    import regex
+
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if x]
+    share = lambda a, b: a / b if b else 0.0
+    letters = len(regex.findall(r"\p{L}", text))
+    ended = [x for x in lines if re.search(r"[.!?:;\"')][ \t\n\x0b\f\r]*\Z", x)]
+    alone = regex.findall(r"(?<![^\x20\n])[^\x20\n0-9A-Za-z_](?![^\x20\n])", text)
+    return {
+        "chars": math.log1p(len(text)), "words": math.log1p(len(words)), "word_length": share(len(text), len(words)), "distinct_words": share(len(set(words)), len(words)),
+        "repeated_next": share(sum(a == b for a, b in zip(words, words[1:])), len(words)), "upper": share(len(regex.findall(r"\p{Lu}", text)), letters), "letters": share(letters, len(text)),
+        "digits": share(len(re.findall("[0-9]", text)), len(text)), "signs": share(sum(c in "#$%&*+/<=>@\\^_`{|}~[]" for c in text), len(words)), "shouts": share(len(re.findall("[!?]{2}", text)), len(words)),
+        "lone_signs": share(len(alone), len(words)), "line_length": share(len(text), len(lines)), "distinct_lines": share(len(set(lines)), len(lines)), "ended_lines": share(len(ended), len(lines)),
+    }
+
+
+def test_quality_statistics_by_brute_force(spark, docs_of, odd_rows):
+    rng = random.Random(9)
+    made = [(100 + i, "".join(rng.choice("aB é1 \n\t.!?|#$ x ") for _ in range(rng.randrange(200))), "en", "s") for i in range(150)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs_of(made + odd_rows).select("doc_id", "text"))
+    names = None
+    for r in quality.with_statistics(docs).collect():
+        want = _statistics(r.text)
+        names = names or set(want)
+        got = r.stats.asDict()
+        assert set(got) == names
+        assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in names), (r.doc_id, [(k, got[k], want[k]) for k in names if abs(got[k] - want[k]) > 1e-9])
+
+
+def test_quality_query_by_brute_force(spark):
+    """Every row's score is the rules', worked out from statistics by brute force."""
+    from patchlens.llm import queries as Q
+
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = quality.train(docs, labels.where(~is_held_out()))
+    got = {r.doc_id: r for r in Q.op1_quality(spark, base).collect()}
+    for r in docs.collect():
+        stats = _statistics(r.text)
+        total = model.bias + sum(w for rule, w in model.rules if all((stats[n] > cut) == above for n, above, cut in rule))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
 def test_compiled_rules_equal_the_model(spark):
     rng = np.random.default_rng(5)
     x = rng.random((400, 3))

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from patchlens.llm import bpe, langid, media, pii
 
@@ -289,6 +290,30 @@ def test_media_columns(spark, docs_of, odd_rows):
     assert found[2].tile is None and found[3].hash is None
 
 
+def test_media_features_by_brute_force(spark, docs_of, odd_rows):
+    """The feature column from the stored greymap, area by area, without integral images."""
+    def mean(image, top, bottom, left, right):
+        total = 0.0
+        for y in range(int(top), min(int(np.ceil(bottom)), image.shape[0])):
+            for x in range(int(left), min(int(np.ceil(right)), image.shape[1])):
+                total += image[y, x] * (min(y + 1, bottom) - max(y, top)) * (min(x + 1, right) - max(x, left))
+        return total / ((bottom - top) * (right - left))
+
+    def resized(image, height, width):
+        h, w = image.shape
+        return np.array([[mean(image, h * i / height, h * (i + 1) / height, w * j / width, w * (j + 1) / width) for j in range(width)] for i in range(height)])
+
+    rows = [r for r in odd_rows if r[0] is not None and len(r[1] or "") < 5000] + [(50, "näher " * 300, "de", "s")]
+    out = {r.doc_id: r for r in media.digest_media(media.store_documents(docs_of(rows))).collect()}
+    for i, t, *_ in rows:
+        data = (t or "").encode()
+        image = np.frombuffer(data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data)), np.uint8).reshape(-1, 24).astype(float)
+        small = resized(image, 8, 9)
+        code = int("".join("1" if a > b + 1e-9 else "0" for line in small for a, b in zip(line, line[1:])), 2)
+        np.save(tile := io.BytesIO(), np.clip(np.rint(resized(image, 32, 32)), 0, 255).astype(np.uint8), allow_pickle=False)
+        assert out[i].feature == f"{code:016x}-{zlib.crc32(tile.getvalue()):08x}"
+
+
 def test_language_held_out(spark):
     from patchlens.llm.common import is_held_out
 
@@ -300,6 +325,43 @@ def test_language_held_out(spark):
     assert langid.learn_dictionaries(docs.limit(0), ~is_held_out()) == {}
 
 
+def test_language_query_by_brute_force(spark):
+    """Every row's language is the one whose dictionary leaves the fewest bytes; dictionaries hold passages of labelled texts only."""
+    import zstandard
+    from patchlens.llm import queries as Q
+    from patchlens.llm.common import is_held_out
+
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    learnt = langid.learn_dictionaries(docs, ~is_held_out())
+    rows = docs.withColumn("held_out", is_held_out()).collect()
+    for lang, content in learnt.items():
+        texts = [r.text.lower() for r in rows if r.lang == lang and not r.held_out and r.text]
+        pieces = {t[i : i + langid.PASSAGE] for t in texts for i in range(0, len(t), langid.PASSAGE)}
+        at, text = 0, content.decode()
+        while at < len(text):  # passages may hold line ends themselves
+            at += 1 + max(len(p) for p in pieces if text.startswith(p, at))
+        assert at == len(text) + 1 and content.count(b"\n") >= 1
+    how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=17, search_log=3, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r.doc_id: r for r in Q.op7_language_id(spark, base).collect()}
+    for r in rows[:60]:
+        text = " " + (r.text or "").lower()
+        sizes = {}
+        for lang, content in learnt.items():
+            tool = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            sizes[lang] = sum(len(tool.compress(text[i : i + langid.CHUNK].encode())) for i in range(0, len(text), langid.CHUNK))
+        if any(map(str.isalpha, text)):
+            assert sizes[got[r.doc_id].lang_pred] <= min(sizes.values()) * 1.01
+        else:
+            assert got[r.doc_id].lang_pred == "und"
+
+
+def test_more_languages_than_are_learnt(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, f"words of {lang} {i} " * 30, lang, "s") for i, lang in enumerate("aaabbbccd")]
+    assert list(langid.learn_dictionaries(docs_of(rows), F.lit(True))) == ["a", "b"]
+
+
 def test_language_without_letters():
     tools = langid.Compressors({"en": b"the of and", "de": b"der die das"})
     assert [tools.classify(t)[0] for t in (None, "", "123 !?", "the of and")] == ["und", "und", "und", "en"]
