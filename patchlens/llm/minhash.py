@@ -62,6 +62,7 @@ PIVOTS = (0, -1, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 BEST = 2
 #: Rows that meet one copy of a pivot's text.
 GROUP = 500
+CLASS_PARTS = 64
 #: Bytes of texts that are worked on at once, and arrivals; a longer text stands alone.
 SLICE_BYTES, ARRIVALS = 1 << 20, 1 << 18
 TILE = ["key", "i", "j", "side", "band", "node", "class", "sig"]
@@ -440,7 +441,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(links.union(more)).withColumnRenamed("root", "class")
     low = slim.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     named = low.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    names = named.groupBy("class").agg(F.min("low").alias("class_id"))
+    # by parts of classes first: a large class is then no task's own, and the planner may split its join
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.lit(CLASS_PARTS))
+    names = named.groupBy("class", part.alias("part")).agg(F.min("low").alias("low")).groupBy("class").agg(F.min("low").alias("class_id"))
     named = named.join(names, "class").select("node", "class_id", F.col("class").alias("root"))
     out = slim.select("id", "node").join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.col("node").alias("digest"), "root")
