@@ -28,28 +28,28 @@ from pyspark.sql import DataFrame
 
 BATCH_BYTES = 4 << 20
 #: Bytes of pieces that one recursive query takes at once.
-ROUND_BYTES = 1 << 18
-CACHE_PIECES = 150_000
+ROUND_BYTES = 1 << 17
+CACHE_PIECES = 300_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Pieces of fewer bytes contract one pair a round, longer ones every pair that is settled; both give the same.
 SHORT = 64
+#: More than the places that one query of short pieces has (``ROUND_BYTES`` and a piece).
+PLACES = 1 << 20
 
-#: Table pieces(w, pos, tok) -> each piece's ids in order. A token that went into its left neighbour is -1.
+#: Table pieces(w, pos, tok, stop) -> each piece's ids in order; stop is the place of the next token of the piece, -1 behind
+#: the last. Of a pair that contracts, the left place takes the new token, and the right one's is -1 from then on.
 ENCODE_SHORT = f"""
-WITH RECURSIVE state(w, pos, tok, round) USING KEY (w, pos) AS (
-    SELECT w, pos, tok, 0 FROM pieces
+WITH RECURSIVE state(w, pos, tok, stop) USING KEY (pos) AS (
+    SELECT w, pos, tok, stop FROM pieces
   UNION ALL
     (
         WITH pairs AS MATERIALIZED (
-            SELECT n.*, m.rank
-            FROM (
-                SELECT w, pos, tok, round, lead(tok) OVER near AS next, lag(pos) OVER near AS prev
-                FROM state WHERE tok >= 0 WINDOW near AS (PARTITION BY w ORDER BY pos)
-            ) n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.next
+            SELECT s.w, s.pos, s.tok, s.stop, n.stop AS after, m.rank
+            FROM (SELECT * FROM state WHERE tok >= 0) s LEFT JOIN state n ON n.pos = s.stop LEFT JOIN merges m ON m.l = s.tok AND m.r = n.tok
         ),
-        firsts AS (SELECT w, min(rank * {SHORT} + pos) AS first FROM pairs WHERE rank IS NOT NULL GROUP BY w)
-        SELECT w, pos, CASE WHEN pos = first % {SHORT} THEN first // {SHORT} WHEN prev = first % {SHORT} THEN -1 ELSE tok END AS tok, round + 1
+        firsts AS (SELECT w, min(rank::BIGINT * {PLACES} + pos) AS first, arg_min(stop, rank::BIGINT * {PLACES} + pos) AS gone FROM pairs WHERE rank IS NOT NULL GROUP BY w)
+        SELECT w, pos, CASE WHEN pos = first % {PLACES} THEN first // {PLACES} WHEN pos = gone THEN -1 ELSE tok END::INTEGER AS tok, CASE WHEN pos = first % {PLACES} THEN after ELSE stop END AS stop
         FROM pairs JOIN firsts USING (w)
     )
 )
@@ -243,11 +243,15 @@ class Codec:
         w = np.repeat(np.arange(len(pieces)), sizes)
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        tok = self.bytes[data]
+        rows = {"w": w.astype(np.int32), "pos": np.arange(len(w), dtype=np.int32), "tok": self.bytes[data]}
         if query == ENCODE_LONG:
             self.places = self.places or Places(self.ranks)
             self.db.register("places", self.places.of(data, w))
-        self.db.register("pieces", pa.table({"w": w.astype(np.int32), "pos": (np.arange(len(w)) - starts[w]).astype(np.int32), "tok": tok}))
+            rows["pos"] -= starts[w].astype(np.int32)
+        else:
+            rows["stop"] = rows["pos"] + 1
+            rows["stop"][starts + sizes - 1] = -1
+        self.db.register("pieces", pa.table(rows))
         found = self.db.sql(query).to_arrow_table().combine_chunks()
         toks = found["toks"].combine_chunks()
         values, ends = toks.flatten().to_numpy(zero_copy_only=False).astype("<u4"), toks.offsets.to_numpy()
